@@ -15,7 +15,7 @@ from logvigil.functions import fixed_values as V
 
 def strip(c: Column) -> Column:
     """Remove surrounding white space of any kind (``trim`` alone only drops blanks)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\u000b\f"))
 
 
 def null_if_empty(c: Column) -> Column:
@@ -23,8 +23,9 @@ def null_if_empty(c: Column) -> Column:
 
 
 def match_group(c: Column, pattern: str, group: int = 1) -> Column:
-    """Regex group, null when the pattern does not match or the group is empty."""
-    return null_if_empty(F.regexp_extract(c, pattern, group))
+    """Group of the first match, null without a match. Evaluates the pattern once, where a
+    null test around ``regexp_extract`` would evaluate it twice."""
+    return F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(0))
 
 
 def first_match(c: Column, patterns: Iterable[str], flags: str = "") -> Column:
@@ -33,12 +34,10 @@ def first_match(c: Column, patterns: Iterable[str], flags: str = "") -> Column:
 
 
 def lookup(c: Column, table: dict, default: Column | None = None) -> Column:
-    """Literal table lookup. A ``when`` chain stays inside code generation."""
-    chain = None
-    for key, value in table.items():
-        test = c == F.lit(key)
-        chain = F.when(test, F.lit(value)) if chain is None else chain.when(test, F.lit(value))
-    return chain.otherwise(default) if default is not None else chain
+    """Literal table lookup; the map is folded into one constant, so generated code stays short."""
+    pairs = [F.lit(item) for pair in table.items() for item in pair]
+    found = F.try_element_at(F.create_map(*pairs), c)
+    return found if default is None else F.coalesce(found, default)
 
 
 def contains_any(c: Column, words: Iterable[str]) -> Column:
@@ -125,17 +124,19 @@ def extract_kv(c: Column) -> Column:
         F.zip_with(quoted, plain, lambda q, p: F.nullif(F.concat(q, p), F.lit(""))),
         lambda k, v: F.struct(k.alias("key"), v.alias("value")),
     )
-    # map_from_entries rejects duplicate keys under the default policy, so keep the last pair of
-    # each key here; lines hold a handful of pairs.
-    last_pairs = F.filter(
-        pairs,
-        lambda pair, i: F.array_position(
-            F.transform(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"]),
-            pair["key"],
-        )
-        == 0,
-    )
-    return F.when(F.size(keys) > 0, F.map_from_entries(last_pairs))
+    return F.when(F.size(keys) > 0, F.map_from_entries(last_entries(pairs)))
+
+
+def last_entries(pairs: Column) -> Column:
+    """Key-value structs with only the last of each key, as ``map_from_entries`` wants them.
+
+    A record holds a handful of pairs, so the quadratic scan is cheaper than a map of lists.
+    """
+    def is_last(pair: Column, i: Column) -> Column:
+        later = F.slice(pairs, i + 2, F.size(pairs))
+        return ~F.exists(later, lambda other: other["key"] == pair["key"])
+
+    return F.filter(pairs, is_last)
 
 
 def extract_json(c: Column) -> Column:
@@ -175,14 +176,18 @@ def coerce_cell(c: Column) -> Column:
     return F.struct(kind.alias("kind"), text.alias("text"))
 
 
+def json_text(c: Column) -> Column:
+    """JSON string literal of a text, null for null."""
+    return F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r'^\{"v":|\}$', "")
+
+
 def cell_json(cell: Column) -> Column:
     """JSON literal of a coerced cell."""
-    quoted = F.regexp_replace(F.to_json(F.struct(cell["text"].alias("v"))), r'^\{"v":|\}$', "")
     return (
         F.when(cell["kind"] == "null", "null")
         .when(cell["kind"].isin("int", "float"), cell["text"])
         .when(cell["kind"] == "bool", F.lower(cell["text"]))
-        .otherwise(quoted)
+        .otherwise(json_text(cell["text"]))
     )
 
 
@@ -198,15 +203,31 @@ def pick_key(mapping: Column, aliases: Iterable[str]) -> Column:
     return F.coalesce(*[F.try_element_at(mapping, F.lit(a)) for a in aliases])
 
 
+def scalar_fields(document: Column, parents: Iterable[str] = ()) -> Column:
+    """Scalar fields of a VARIANT object as ``map<path, text>``, with those of the named parents
+    under dotted paths. Objects, arrays, nulls and empty strings are left out."""
+    def scalars(value: Column, prefix: str) -> Column:
+        fields = F.try_variant_get(value, "$", "map<string,variant>")
+        named = F.map_filter(
+            fields,
+            lambda k, x: ~k.contains(".") & ~F.schema_of_variant(x).rlike("^(OBJECT|ARRAY|VOID)")
+            & (x.cast("string") != ""),
+        )
+        named = F.transform_values(named, lambda k, x: x.cast("string"))
+        renamed = F.transform_keys(named, lambda k, x: F.concat(F.lit(prefix), k)) if prefix else named
+        return F.coalesce(renamed, F.create_map().cast("map<string,string>"))
+
+    return F.map_concat(scalars(document, ""), *[
+        scalars(F.try_variant_get(document, f"$.{parent}", "variant"), f"{parent}.")
+        for parent in parents
+    ])
+
+
 def pick_path(document: Column, paths: Iterable[str]) -> Column:
     """First scalar, non-empty value among dotted paths of a VARIANT document."""
-    def one(path: str) -> Column:
-        steps = "$" + "".join(f"['{step}']" for step in path.split("."))
-        kind = F.schema_of_variant(F.try_variant_get(document, steps, "variant"))
-        text = F.try_variant_get(document, steps, "string")
-        return F.when(~kind.rlike("^(OBJECT|ARRAY|VOID)"), null_if_empty(text))
-
-    return F.coalesce(*[one(p) for p in paths])
+    paths = list(paths)
+    parents = sorted({p.split(".")[0] for p in paths if "." in p})
+    return pick_key(scalar_fields(document, parents), paths)
 
 
 def classify_auth_event(c: Column) -> Column:
