@@ -266,15 +266,15 @@ def parse_auth_lines(lines: DataFrame) -> DataFrame:
         "old", regex_groups(line, V.AUTH_LEGACY_LINE, 2)
     )
     m, old = F.col("m"), F.col("old")
-    message = F.coalesce(m[3], old[1])
-    outcome = X.classify_auth_event(message)
-    found = found.withColumns({
-        "timestamp": F.coalesce(m[0], old[0]), "host": F.coalesce(m[1], F.lit("")),
-        "source": X.normalize_source(m[2], message),
-        "ip": F.regexp_extract(message, V.AUTH_IP, 1), "message": message, "outcome": outcome,
-    }).filter(F.col("message").isNotNull() & (F.col("outcome.event_type") != "unknown"))
-    return found.select(
-        *[c for c in lines.columns if c != "raw"], "timestamp", "host", "source", "ip",
+    found = found.withColumn("message", F.coalesce(m[3], old[1]))
+    # An exploded empty array drops the row. A filter would be pushed below these projections and
+    # evaluate the whole chain of patterns a second time.
+    known = F.filter(F.array(X.classify_auth_event(F.col("message"))), lambda o: o["event_type"] != "unknown")
+    kept = found.select("*", F.explode(known).alias("outcome"))
+    return kept.select(
+        *[c for c in lines.columns if c != "raw"], F.coalesce(m[0], old[0]).alias("timestamp"),
+        F.coalesce(m[1], F.lit("")).alias("host"), X.normalize_source(m[2], F.col("message")).alias("source"),
+        F.regexp_extract("message", V.AUTH_IP, 1).alias("ip"),
         X.extract_auth_user(F.col("message"), F.col("outcome.event_type")).alias("user"),
         "outcome.event_type", "outcome.status",
     )
