@@ -134,10 +134,9 @@ def _parse(records: DataFrame, formats: dict[str, Format]) -> DataFrame:
                          F.try_element_at(replaced, F.lit(name))).otherwise(value)
             for name, value in core.items()
         }
-    found = found.withColumns(core)
+    found = found.withColumns({**core, "severity": per_format("severity")})
     found = found.withColumns({
-        "severity": per_format("severity"), "parsed_data": per_format("data"),
-        "reason": F.coalesce("reason", per_format("reason")),
+        "parsed_data": per_format("data"), "reason": F.coalesce("reason", per_format("reason")),
     })
     return found.select(*kept)
 
@@ -149,14 +148,13 @@ def _object(*extras: Column) -> Column:
 def _syslog(year: int) -> Format:
     m = F.col("_sys")
     message = m[4]
-    severity = X.severity_from_text(message)
     data = _object(
         m[1].alias("hostname"), X.strip(m[2]).alias("process"),
         m[3].try_cast("bigint").alias("pid"), X.strip(message).alias("message"),
-        severity.alias("severity"),
+        F.col("severity"),
     )
     return Format([{"_sys": regex_groups(F.col("raw"), V.SYSLOG_LINE, 5)}],
-                  {"timestamp": syslog_date(m[0], year)}, severity, data, text=message,
+                  {"timestamp": syslog_date(m[0], year)}, X.severity_from_text(message), data, text=message,
                   ip_text=message, reason=F.when(m.isNull(), NO_MATCH))
 
 
@@ -189,12 +187,11 @@ def _generic() -> Format:
         for field, names in V.GENERIC_ALIASES.items()
     }
     given["timestamp"] = X.extract_timestamp(raw)
-    level = X.extract_level(raw)
-    data = _object(level.alias("level"), kv.alias("key_values"), js.alias("json"),
+    data = _object(F.col("severity").alias("level"), kv.alias("key_values"), js.alias("json"),
                    X.strip(raw).alias("message"))
     stages = [{"_kv": X.extract_kv(raw), "_js": X.extract_json(raw)},
               {"_doc": F.from_json(js, "map<string,string>")}]
-    return Format(stages, given, level, data, text=raw, ip_text=raw)
+    return Format(stages, given, X.extract_level(raw), data, text=raw, ip_text=raw)
 
 
 def _json() -> Format:
@@ -202,15 +199,16 @@ def _json() -> Format:
     parents = sorted({a.split(".")[0] for names in V.JSON_ALIASES.values() for a in names if "." in a})
     pick = lambda field: X.pick_key(fields, V.JSON_ALIASES[field])
     given = {field: pick(field) for field in V.CORE_FIELDS}
-    data = _object(pick("severity").alias("severity"),
+    data = _object(F.col("severity"),
                    F.coalesce(pick("message"), record).alias("message"), record.alias("json"))
-    return Format([{"_fields": X.scalar_fields(F.try_parse_json(record), parents)}], given,
+    stages = [{"_document": F.try_parse_json(record)}, {"_fields": X.scalar_fields(F.col("_document"), parents)}]
+    return Format(stages, given,
                   pick("severity"), data, ip_text=record)
 
 
 def _csv(override: bool) -> Format:
     pairs, row = F.col("_pairs"), F.col("_row")
-    cells = F.transform(csv_cells(F.col("record")), X.coerce_cell)
+    cells = X.coerce_cells(csv_cells(F.col("record")))
     zipped = F.filter(
         F.arrays_zip(F.col("header").alias("key"), cells.alias("cell")), lambda p: p["key"].isNotNull()
     )
