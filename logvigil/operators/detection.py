@@ -165,7 +165,7 @@ def _candidates(logs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 class Piece:
     """The sorted rows of one task, as arrays, with the interval structure of every row."""
 
-    def __init__(self, rows: pd.DataFrame, rules: Sequence[Rule]):
+    def __init__(self, rows: pd.DataFrame, rules: Sequence[Rule], edges_only: bool = False):
         self.rows, self.rules = rows, rules
         self.us = rows["us"].to_numpy(np.int64)
         self.line = rows["line_number"].to_numpy(np.int64)
@@ -180,16 +180,17 @@ class Piece:
         self.key_start = np.repeat(self.starts, self.ends - self.starts)
         self.keys = [tuple(k[s] for k in keys) for s in self.starts]
         self.rule_of_key = [int(k[0]) for k in self.keys]
-        self.ends_at, self.starts_at, self.burst_end = self._intervals()
+        self.edges = sorted({0, len(self.keys) - 1})  # only these can continue in another piece
+        self.burst_end: dict[int, int] = {}
+        self.ends_at, self.starts_at = self._intervals(self.edges if edges_only else range(len(self.keys)))
 
-    def _intervals(self) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
-        """Rows that may fire, in order, the row each one reaches back to, and burst ends."""
+    def _intervals(self, wanted: Iterable[int]) -> tuple[list[int], list[int]]:
+        """Rows that may fire, in order, and the row each one reaches back to."""
         tight = np.full(len(self.us), -1, np.int64)
-        burst_end: dict[int, int] = {}
-        for start, end, number in zip(self.starts, self.ends, self.rule_of_key):
-            rule = self.rules[number]
+        for k in wanted:
+            start, end, rule = int(self.starts[k]), int(self.ends[k]), self.rules[self.rule_of_key[k]]
             if rule.is_burst:
-                self._burst_intervals(start, end, rule, tight, burst_end)
+                self._burst_intervals(start, end, rule, tight)
             elif rule.distinct:
                 self._distinct_reach(start, end, rule, tight)
             elif end - start >= rule.threshold:
@@ -199,30 +200,30 @@ class Piece:
                     self.us[at] - self.us[at - back] <= rule.window_seconds * MICROS, at - back, -1
                 )
         fires = np.flatnonzero(tight >= 0)
-        return fires, tight[fires], burst_end
+        return fires.tolist(), tight[fires].tolist()
 
     def _distinct_reach(self, start: int, end: int, rule: Rule, tight: np.ndarray) -> None:
         recent: dict[object, int] = {}  # most recently seen last; never more than threshold values
-        limit = rule.window_seconds * MICROS
-        for j in range(start, end):
-            value = self.dim[j]
+        limit, wanted = rule.window_seconds * MICROS, rule.threshold
+        us, reach = self.us[start:end].tolist(), [-1] * (end - start)
+        for j, value in enumerate(self.dim[start:end].tolist()):
             recent.pop(value, None)
             recent[value] = j
-            if len(recent) > rule.threshold:
+            if len(recent) > wanted:
                 del recent[next(iter(recent))]
-            if len(recent) == rule.threshold:
+            if len(recent) == wanted:
                 s = recent[next(iter(recent))]
-                if self.us[j] - self.us[s] <= limit:
-                    tight[j] = s
+                if us[j] - us[s] <= limit:
+                    reach[j] = s + start
+        tight[start:end] = reach
 
-    def _burst_intervals(self, start: int, end: int, rule: Rule, tight: np.ndarray,
-                         burst_end: dict[int, int]) -> None:
+    def _burst_intervals(self, start: int, end: int, rule: Rule, tight: np.ndarray) -> None:
         """A success reaches back to the start of its epoch: the rows since the success before."""
         for epoch, success in self._epochs(start, end):
             last = self._last_burst(epoch, success, rule)
             if last is not None and self.us[success] - self.us[last] <= rule.success_window_seconds * MICROS:
                 tight[success] = epoch
-                burst_end[success] = last
+                self.burst_end[success] = last
 
     def _epochs(self, start: int, end: int) -> Iterator[tuple[int, int]]:
         epoch = start
@@ -244,7 +245,7 @@ class Piece:
         stop = len(self.us) if before is None else before
         i = bisect.bisect_right(self.starts_at, after)
         while i < len(self.ends_at) and self.ends_at[i] < stop:
-            fired = int(self.ends_at[i])
+            fired = self.ends_at[i]
             yield fired, after
             after = fired
             i = bisect.bisect_right(self.starts_at, after, lo=i + 1)
@@ -394,10 +395,9 @@ def _matched_rows(candidates: DataFrame, rules: Sequence[Rule], partitions: int
         rows = _whole_task(batches)
         if rows is None:
             return
-        piece, chunk = Piece(rows, rules), int(rows["chunk"].iloc[0])
-        edges = sorted({0, len(piece.keys) - 1})  # only these can continue in another piece
+        piece, chunk = Piece(rows, rules, edges_only=True), int(rows["chunk"].iloc[0])
         yield pd.DataFrame(
-            [(chunk, *piece.keys[k], json.dumps(piece.summary(k))) for k in edges],
+            [(chunk, *piece.keys[k], json.dumps(piece.summary(k))) for k in piece.edges],
             columns=["chunk", *KEYS, "summary"],
         )
 
@@ -425,21 +425,21 @@ def _matched_rows(candidates: DataFrame, rules: Sequence[Rule], partitions: int
             return
         resume, spanning = shared.value
         piece, chunk = Piece(rows, rules), int(rows["chunk"].iloc[0])
-        index, ends = [], []
-        for k in {0, len(piece.keys) - 1}:
-            for interval in spanning.get(piece.keys[k], ()):
-                hit = _rows_of(piece, k, interval)
-                index.append(hit)
-                ends.append(np.repeat([interval["success"] or interval["end"]], len(hit), axis=0))
-        for fired, after in piece.picked(resume.get(chunk, -1)):
-            hit = _local_rows(piece, fired, after)
+        index, end_us, end_line = [], [], []
+
+        def add(hit: np.ndarray, us, line) -> None:
             index.append(hit)
-            ends.append(np.repeat([piece.at(fired)], len(hit), axis=0))
-        if not index:
-            return
+            end_us.append(us)
+            end_line.append(line)
+
+        for k in piece.edges:
+            for interval in spanning.get(piece.keys[k], ()):
+                hit, end = _rows_of(piece, k, interval), interval["success"] or interval["end"]
+                add(hit, np.full(len(hit), end[0]), np.full(len(hit), end[1]))
+        hit, fired = _local_rows(piece, list(piece.picked(resume.get(chunk, -1))))
+        add(hit, piece.us[fired], piece.line[fired])
         taken = piece.rows.take(np.concatenate(index).astype(np.int64)).reset_index(drop=True)
-        end = np.concatenate(ends).reshape(-1, 2)
-        taken["end_us"], taken["end_line"] = end[:, 0], end[:, 1]
+        taken["end_us"], taken["end_line"] = np.concatenate(end_us), np.concatenate(end_line)
         yield taken[["rule_no", "upload_id", "subject", "end_us", "end_line", "us", "line_number",
                      "dim", "ip_address", "username"]]
 
@@ -472,16 +472,27 @@ def _rows_of(piece: Piece, k: int, interval: dict) -> np.ndarray:
     return rows
 
 
-def _local_rows(piece: Piece, fired: int, after: int) -> np.ndarray:
-    start = int(piece.key_start[fired])
-    rule = piece.rules[int(piece.rows["rule_no"].iat[fired])]
-    end = piece.burst_end.get(fired, fired)
-    floor = piece.us[end] - rule.window_seconds * MICROS
-    first = start + int(np.searchsorted(piece.us[start : end + 1], floor, "left"))
-    if rule.is_burst:  # an epoch begins after the success before, whether or not that one fired
-        epoch = int(piece.starts_at[np.searchsorted(piece.ends_at, fired)])
-        return np.append(np.arange(max(first, epoch), end + 1), fired)
-    return np.arange(max(first, after + 1), fired + 1)
+def _local_rows(piece: Piece, picks: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the alerts a piece picks on its own, and the firing row of each of them."""
+    fired = np.array([p[0] for p in picks], np.int64)
+    lower = np.array([p[1] + 1 for p in picks], np.int64)
+    last = np.array([piece.burst_end.get(p[0], p[0]) for p in picks], np.int64)
+    first, key = lower.copy(), np.searchsorted(piece.starts, fired, "right") - 1
+    for k in np.unique(key):
+        mine = slice(*np.searchsorted(key, [k, k + 1]))
+        start, end = piece.starts[k], piece.ends[k]
+        rule = piece.rules[piece.rule_of_key[k]]
+        floor = piece.us[last[mine]] - rule.window_seconds * MICROS
+        first[mine] = np.maximum(start + np.searchsorted(piece.us[start:end], floor, "left"), lower[mine])
+        if rule.is_burst:  # an epoch begins after the success before, whether or not that one fired
+            epoch = [piece.starts_at[bisect.bisect_left(piece.ends_at, f)] for f in fired[mine].tolist()]
+            first[mine] = np.maximum(first[mine], epoch)
+    length = last - first + 1
+    total = int(length.sum())
+    offset = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
+    rows, owner = np.repeat(first, length) + offset, np.repeat(fired, length)
+    successes = fired[fired != last]  # a burst's success is a row of its own
+    return np.concatenate([rows, successes]), np.concatenate([owner, successes])
 
 
 # ---- alerts -------------------------------------------------------------------------------

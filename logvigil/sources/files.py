@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from logvigil.functions import fixed_values as V
 from logvigil.functions.text import json_items, strip
 
-LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85  ]"
+LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
 CSV_FIELD = r'(?:"(?:[^"]++|"")*+(?:"|\z)[^,\r\n]*+|[^,\r\n]*+)'
 CSV_RECORD = rf"({CSV_FIELD}(?:,{CSV_FIELD})*+)(?:\r\n|\n|\r|\z)"
 

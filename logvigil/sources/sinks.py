@@ -28,10 +28,11 @@ def build_log_rows(entries: DataFrame, ingested_at: Column) -> DataFrame:
 
 def write_logs(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Store log rows by ingest day. Days keep the folder count small where upload ids would not;
-    rows are placed by upload, so file statistics still find one upload quickly."""
+    rows are range-placed by upload and line, so file statistics find one upload quickly and a large
+    upload is written by several tasks."""
     (
         rows.withColumn("ingest_day", F.to_date("ingested_at"))
-        .repartition("ingest_day", "upload_id").sortWithinPartitions("upload_id", "line_number")
+        .repartitionByRange("ingest_day", "upload_id", "line_number").sortWithinPartitions("ingest_day", "upload_id", "line_number")
         .write.mode(mode).partitionBy("ingest_day").parquet(path)
     )
 
