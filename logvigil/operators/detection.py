@@ -403,7 +403,8 @@ def _matched_rows(candidates: DataFrame, rules: Sequence[Rule], partitions: int
 
     # At most two rows per partition, each bounded by the thresholds: safe to bring to the driver.
     subjects = defaultdict(list)
-    for row in placed.mapInPandas(summarise, SUMMARY_SCHEMA).collect():
+    narrow = placed.select("chunk", *KEYS, *ORDER, "dim")
+    for row in narrow.mapInPandas(summarise, SUMMARY_SCHEMA).collect():
         subjects[(row.rule_no, row.upload_id, row.subject)].append((row.chunk, json.loads(row.summary)))
     resume: dict[int, int] = {}
     spanning: dict[tuple, list[dict]] = {}
