@@ -123,18 +123,21 @@ def match_incident(incidents: DataFrame, alerts: DataFrame) -> DataFrame:
     direct = incidents.filter(F.col("source_alert_id").isNotNull()).groupBy("source_alert_id").agg(
         F.min("backend_id").alias("direct")
     )
-    unsourced = _first_by_event(incidents.filter(F.col("source_alert_id").isNull()), "unsourced")
-    anyone = _first_by_event(incidents, "anyone")
-    shared = (
-        alerts.select(F.col("backend_id").alias("alert_id"), "source_alert_id",
-                      F.explode("evidence_ids").alias("event_id"))
-        .join(anyone, "event_id").join(unsourced, "event_id", "left")
-        .groupBy("alert_id").agg(F.min(
-            F.when(F.col("source_alert_id").isNull(), F.col("anyone")).otherwise(F.col("unsourced"))
-        ).alias("shared"))
+    per_event = incidents.select(
+        F.explode("event_ids").alias("event_id"), "backend_id", "source_alert_id"
+    ).groupBy("event_id").agg(
+        F.min("backend_id").alias("anyone"),
+        F.min(F.when(F.col("source_alert_id").isNull(), F.col("backend_id"))).alias("unsourced"),
     )
-    ids = alerts.select(F.col("backend_id").alias("alert_id"), "source_alert_id")
-    return ids.join(direct, "source_alert_id", "left").join(shared, "alert_id", "left").select(
+    listed = alerts.select(F.col("backend_id").alias("alert_id"), "source_alert_id",
+                           F.explode_outer("evidence_ids").alias("event_id"))
+    # Alerts without evidence get a key of their own: nulls would all meet in one task.
+    keyed = listed.withColumn(
+        "event_id", F.coalesce("event_id", F.concat(F.lit("none-"), F.col("alert_id").cast("string"))))
+    shared = keyed.join(per_event, "event_id", "left").groupBy("alert_id", "source_alert_id").agg(F.min(
+        F.when(F.col("source_alert_id").isNull(), F.col("anyone")).otherwise(F.col("unsourced"))
+    ).alias("shared"))
+    return shared.join(direct, "source_alert_id", "left").select(
         "alert_id", F.least("direct", "shared").alias("incident_id")
     )
 
