@@ -3,7 +3,7 @@
 1. **Terms.** A document's terms are its words and the first four and five letters of its words. Over a
    bounded sample of labelled documents, Spark counts in how many documents, and in how many toxic ones,
    each term occurs.
-2. **Voters.** Terms that are far more usual in toxic documents form lexicons: three kinds of term, each
+2. **Voters.** Terms whose documents are mostly toxic form lexicons: three kinds of term, each
    dealt over ``lexicons`` parts, so that there are many voters that each know part of the vocabulary. A
    lexicon votes *toxic* where a document has one of its terms. Pattern voters look at how many of a
    kind's terms there are (one, two or more) and vote *toxic* for several and *clean* for none.
@@ -78,12 +78,12 @@ def counted(rows: DataFrame, least: int = 3) -> DataFrame:
     return rows.mapInArrow(run, "term string, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).filter(F.col("n") >= least)
 
 
-def telling(rows: DataFrame, documents: int, toxic: int, keep: int) -> list[tuple[str, float]]:
-    """The ``keep`` terms whose share of toxic documents is furthest from the sample's, in standard errors."""
+def telling(rows: DataFrame, documents: int, toxic: int, keep: int) -> list[tuple[str, float, float]]:
+    """The ``keep`` terms whose share of toxic documents is furthest from the sample's, in standard errors, with that share."""
     base = toxic / documents
     z = (F.col("t") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
     top = rows.withColumn("z", z).orderBy(F.abs("z").desc(), "term").limit(keep).collect()
-    return [(r["term"], r["z"]) for r in top]
+    return [(r["term"], r["z"], r["t"] / r["n"]) for r in top]
 
 
 class LabelModel:
@@ -151,19 +151,23 @@ def regression(hits: list[list[int]], target: np.ndarray, m: int, decay: float =
     return weights
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, keep: int = 3000, lexicons: int = 12, lift: float = 6.0) -> tuple[dict[str, float], float]:
-    """(weight of each term, intercept). ``docs``: doc_id, text; ``labels``: doc_id, label."""
+def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, keep: int = 3000, lexicons: int = 12, lift: float = 4.0, share: float = 0.7) -> tuple[dict[str, float], float]:
+    """(weight of each term, intercept). ``docs``: doc_id, text; ``labels``: doc_id, label.
+
+    A lexicon takes terms that are ``lift`` standard errors more usual in toxic documents and of whose
+    documents at least ``share`` are toxic: words of a language in which more is toxic do not qualify.
+    """
     rows = sample(docs, labels, most)
     documents, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("label").cast("bigint")), F.lit(0))).first()
     if not 0 < toxic < documents:
-        share = toxic / documents if documents else 0.0
-        return {}, float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -30, 30))
+        base = toxic / documents if documents else 0.0
+        return {}, float(np.clip(np.log((base + 1e-9) / (1 - base + 1e-9)), -30, 30))
     found = telling(counted(rows), documents, toxic, keep)
     if not found:
         return {}, float(np.log(toxic / (documents - toxic)))
-    number = {term: i for i, (term, _) in enumerate(found)}
+    number = {term: i for i, (term, _, _) in enumerate(found)}
     kind = np.array([KINDS.index(term[0]) for term in number])
-    strong = np.array([z >= lift for _, z in found])
+    strong = np.array([z >= lift and of >= share for _, z, of in found])
     rank = np.cumsum(strong) - 1
     per_kind = max(1, lexicons // len(KINDS))
     lexicon = np.where(strong, kind * per_kind + rank % per_kind, -1)
