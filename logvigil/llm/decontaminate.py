@@ -98,7 +98,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: st
     likely = hits.filter((F.col("n_windows") >= share * F.col("of")) | (F.col("longest") >= run))
     # Each alignment that is left is compared slot by slot.
     likely = likely.join(bench.select(F.col("item_id").alias("_item"), "iw"), F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
-    slots = F.filter(F.transform("iw", lambda w, i: F.struct(w["raw"].alias("a"), w["tpl"].alias("tpl"), i.alias("i"))), lambda w: _placeholder(w["tpl"]) & F.exists("at", lambda p: (p <= w["i"]) & (w["i"] < p + window)))
+    # Windows of few literals match nothing themselves, so the slots up to two windows around count as well.
+    slots = F.filter(
+        F.transform("iw", lambda w, i: F.struct(w["raw"].alias("a"), w["tpl"].alias("tpl"), i.alias("i"))),
+        lambda w: _placeholder(w["tpl"]) & (w["i"] >= F.array_min("at") - window) & (w["i"] < F.array_max("at") + 2 * window),
+    )
     likely = checkpointed(likely.withColumn("slots", slots).drop("iw", "at"))
     plain, open_ = likely.filter(F.size("slots") == 0), likely.filter(F.size("slots") > 0)
     keys = open_.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
@@ -107,8 +111,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: st
     texts_again = rows.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key"))).drop("doc_id", "row_key")
     filled = open_.join(texts_again, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")))
     filled = filled.withColumn("dw", words(F.col("text")))
-    pairs = _let(F.col("dw.raw"), lambda raw: F.array_distinct(F.transform("slots", lambda s: F.struct(
-        F.lower(s["a"]).alias("a"), F.lower(F.element_at(raw, s["i"] + F.col("shift") + 1)).alias("b")))))
+    def paired(dw: Column) -> Column:
+        there = lambda s: F.get(dw, s["i"] + F.col("shift"))
+        same = F.filter("slots", lambda s: F.coalesce(there(s)["tpl"] == s["tpl"], F.lit(False)))
+        return F.array_distinct(F.transform(same, lambda s: F.struct(F.lower(s["a"]).alias("a"), F.lower(there(s)["raw"]).alias("b"))))
+
+    pairs = _let(F.col("dw"), paired)
     filled = filled.withColumn("pairs", pairs).filter(
         (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.a")))) & (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.b"))))
     )
