@@ -44,18 +44,25 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: the session's ``spark.checkpoint.dir``, else the one set on the context."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder all executors see: the session's ``spark.checkpoint.dir``, else the one set on the context.
+
+    Only on a single machine (a local master, as in tests) may it be unset; a folder of its own is used then.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="logvigil-shared-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` materialised in the shared folder, so that a lost executor costs no rerun."""
-    context = df.sparkSession.sparkContext
+    folder, context = shared_folder(df.sparkSession), df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
