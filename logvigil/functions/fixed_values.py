@@ -325,3 +325,7 @@ PLAYBOOKS = {
         "Determine what data left the environment and notify the response lead.",
     ],
 }
+
+# Result texts of the threat summary.
+CORRELATE = "Correlate the account, source, and host activity before containment."
+ATTEMPT_CORRELATE = "Possible privilege escalation attempt. Correlate the account, source, and host activity before containment."

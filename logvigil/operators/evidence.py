@@ -172,7 +172,7 @@ def selected_rules(incidents: DataFrame, events: DataFrame, catalog: DataFrame)
     """Catalogue rules seen in each incident's evidence."""
     members = incidents.select(F.col("backend_id").alias("incident_id"), F.explode("event_ids").alias("id"))
     seen = members.join(events.select("id", F.split_part("rule", F.lit(" · "), F.lit(1)).alias("rule_id")), "id")
-    known = F.broadcast(catalog.select(F.col("id").alias("rule_id"), "name", "severity"))  # fixed six rows
+    known = catalog.select(F.col("id").alias("rule_id"), "name", "severity")
     return seen.select("incident_id", "rule_id").distinct().join(known, "rule_id")
 
 

@@ -309,9 +309,9 @@ def _(spark, folder):
 
 
 @query("d29_notes_order", B.with_tables("nv", """
-SELECT id, pinned, epoch_us(updated_at) AS updated_at FROM nv ORDER BY pinned DESC, nv.updated_at DESC, id LIMIT 40"""))
+SELECT id, pinned, epoch_us(updated_at) AS updated_at FROM nv ORDER BY pinned DESC, nv.updated_at DESC, id"""))
 def _(spark, folder):
-    return W.notes_order(B.note_views(spark, folder)).limit(40).select("id", "pinned", "updated_at")
+    return W.notes_order(B.note_views(spark, folder)).select("id", "pinned", "updated_at")
 
 
 @query("d30_recent_failed", B.with_tables("ev", """
@@ -320,9 +320,9 @@ def _(spark, folder):
     return W.recent_failed(B.event_views(spark, folder)).select("id", "source_ip")
 
 
-@query("d31_risk_ranked_alerts", B.with_tables("av", "SELECT backend_id, risk, rule_id FROM av ORDER BY risk DESC, backend_id LIMIT 60"))
+@query("d31_risk_ranked_alerts", B.with_tables("av", "SELECT backend_id, risk, rule_id FROM av ORDER BY risk DESC, backend_id"))
 def _(spark, folder):
-    return W.risk_ranked_alerts(B.alert_views(spark, folder)).limit(60).select("backend_id", "risk", "rule_id")
+    return W.risk_ranked_alerts(B.alert_views(spark, folder)).select("backend_id", "risk", "rule_id")
 
 
 @query("d32_next_sequential_id", B.with_tables("iv", """

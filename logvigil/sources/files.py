@@ -180,7 +180,7 @@ def _json_text_records(text: Column) -> Column:
     )
     bad = F.transform(
         F.filter(per_line, lambda l: l["document"].isNull()),
-        lambda l: _record(l["number"], F.left(l["line"], F.lit(500)), F.lit(None).cast("string"),
+        lambda l: _record(l["number"], l["line"], F.lit(None).cast("string"),
                           F.lit("Invalid JSON: not a single well-formed document")),
     )
     documents = F.transform(
@@ -191,7 +191,7 @@ def _json_text_records(text: Column) -> Column:
     numbered = F.transform(
         good,
         lambda r, i: F.when(r.startswith("{"), _record(i + 1, r, r)).otherwise(
-            _record(i + 1, F.left(r, F.lit(500)), F.lit(None).cast("string"),
+            _record(i + 1, r, F.lit(None).cast("string"),
                     F.lit("JSON event must be an object."))),
     )
     return F.when(whole.isNotNull(), numbered).otherwise(F.concat(numbered, bad))
