@@ -91,28 +91,30 @@ class Vocabulary:
 
 
 class Transducer:
-    """States are numbered; ``to`` and ``gain`` have 256 entries for each (-1: not compiled yet)."""
+    """States are numbered; ``table`` has 256 entries for each, 0 where not compiled yet.
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 100_000):
+    An entry is the next state times 256, plus the change of the count plus 128. The table is laid out once for
+    ``most`` states and what one batch may add; memory is only taken for rows that are written.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, most: int = 160_000):
         self.v, self.most = vocabulary, most
         self.reset()
 
     def reset(self) -> None:
-        self.to = np.full(4096 * 256, -1, np.int32)
-        self.gain = np.zeros(4096 * 256, np.int8)
+        self.table = np.zeros(2 * self.most * 256, np.int32)
         #: A state: (open entries, last token, bytes of an unfinished character).
         self.states: list = [None, ((), -1, b"")]
         self.numbers = {self.states[1]: ROOT}
-        self.to[:256] = DEAD
+        self.table[:256] = DEAD << 8 | 128
 
     def number(self, state: tuple) -> int:
         n = self.numbers.get(state)
         if n is None:
             n = self.numbers[state] = len(self.states)
             self.states.append(state)
-            if n * 256 >= len(self.to):
-                self.to = np.concatenate([self.to, np.full(len(self.to), -1, np.int32)])
-                self.gain = np.concatenate([self.gain, np.zeros(len(self.gain), np.int8)])
+            if n * 256 >= len(self.table):
+                self.table = np.concatenate([self.table, np.zeros(len(self.table), np.int32)])
         return n
 
     def compile(self, entry: int) -> None:
@@ -129,8 +131,7 @@ class Transducer:
                 after = (open_, last, held)
             else:
                 gain, after = self.step(open_, last, held.decode("utf-8", "surrogatepass"), size)
-        to = self.number(after)
-        self.to[entry], self.gain[entry] = to, gain
+        self.table[entry] = self.number(after) << 8 | gain + 128
 
     def step(self, open_: tuple, last: int, char: str, size: int) -> tuple[int, tuple]:
         v, char = self.v, SPACE if char == " " else char
@@ -138,24 +139,34 @@ class Transducer:
         if first is None:  # not in the vocabulary: a token for each byte, and nothing joins over it
             return size, ((), -1, b"")
         before = last if last >= 0 and v.pieces[last][-1] + char in v.adjacent else -1
-        grown = [(v.children[node][char], t, d) for node, t, d in open_ if char in v.children[node]]
-        grown.append((first, before, 0))
-        ends = [(v.token[node], d) for node, t, d in grown if v.token[node] >= 0 and v.follows(-1, v.token[node]) and v.follows(t, v.token[node])]
+        children, tokens, pairs, follows = v.children, v.token, v.pairs, v.follows
+        going, ends = [], []
+        for node, t, d in (*open_, (0, before, 0)):
+            node = children[node].get(char)
+            if node is None:
+                continue
+            token = tokens[node]
+            if token >= 0:
+                whole, pair = pairs.get((-1, token)), pairs.get((t, token))
+                if (follows(-1, token) if whole is None else whole) and (follows(t, token) if pair is None else pair):
+                    ends.append((token, d))
+            if children[node]:
+                going.append((node, t, d))
         if len(ends) != 1:
             raise ValueError(f"the vocabulary has no unique segmentation: {len(ends)} ends")
         token, d = ends[0]
         gain = d + 1
-        return gain, (tuple((node, t, x - gain) for node, t, x in grown if v.children[node]), token, b"")
+        return gain, (tuple([(node, t, x - gain) for node, t, x in going]), token, b"")
 
     def advance(self, states: np.ndarray, bytes_: np.ndarray, gains: np.ndarray) -> np.ndarray:
         entries = (states << 8) | bytes_
-        to = self.to[entries]
-        if to.min(initial=0) < 0:
-            for entry in np.unique(entries[to < 0]).tolist():
+        found = self.table[entries]
+        if not found.all():
+            for entry in np.unique(entries[found == 0]).tolist():
                 self.compile(entry)
-            to = self.to[entries]
-        gains[:] = self.gain[entries]
-        return to
+            found = self.table[entries]
+        gains[:] = (found & 0xFF) - 128
+        return found >> 8
 
     def changes(self, buffer: np.ndarray, chunk: int = 512) -> np.ndarray:
         """Change of the count at every byte of a buffer that begins with START."""
