@@ -18,7 +18,6 @@ ALLOWED_MIME_TYPES = [
     "application/octet-stream", "application/json", "application/x-ndjson",
     "application/jsonlines",
 ]
-MAX_FILE_BYTES = 10 * 1024 * 1024
 
 IPV4_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?:{IPV4_OCTET}\.){{3}}{IPV4_OCTET}"

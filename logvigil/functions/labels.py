@@ -58,12 +58,10 @@ def backend_id(text: Column) -> Column:
     return F.when((number > 0) & (number <= 9007199254740991), number)
 
 
-def evidence_id(log_id: Column, upload_id: Column | None = None, line_number: Column | None = None) -> Column:
-    """``EVT-<id>``; without an id, the start of the upload id and the line number."""
-    if upload_id is None:
-        return F.concat(F.lit("EVT-"), log_id.cast("string"))
+def evidence_id(log_id: Column, upload_id: Column, line_number: Column) -> Column:
+    """``EVT-<id>``; without an id, the whole upload id and the line number, so that no two uploads meet."""
     fallback = F.concat(
-        F.left(F.coalesce(upload_id, F.lit("upload")), F.lit(8)), F.lit("-"),
+        F.coalesce(upload_id, F.lit("upload")), F.lit("-"),
         F.coalesce(line_number, F.lit(0)).cast("string"),
     )
     return F.concat(F.lit("EVT-"), F.coalesce(F.nullif(log_id, F.lit(0)).cast("string"), fallback))

@@ -11,7 +11,16 @@ from logvigil.functions.text import null_if_empty, strip
 def optional_ip(c: Column) -> Column:
     """Canonical IPv4 or IPv6 text, null for anything else."""
     text = strip(c)
-    return F.when(text.rlike(rf"^{V.IPV4}$"), text).otherwise(_canonical_ipv6(F.lower(text)))
+    return F.when(text.rlike(rf"^{V.IPV4}$"), text).otherwise(_canonical_ipv6(_hex_tail(F.lower(text))))
+
+
+def _hex_tail(text: Column) -> Column:
+    """The IPv4 spelling of an IPv6 address's last 32 bits as two groups."""
+    tail = F.split(F.substring_index(text, ":", -1), r"\.")
+    group = lambda i: F.lower(F.hex(F.get(tail, F.lit(i)).try_cast("int") * 256 + F.get(tail, F.lit(i + 1)).try_cast("int")))
+    return F.when(
+        text.rlike(rf":{V.IPV4}$"), F.concat(F.regexp_replace(text, r"[^:]+$", ""), group(0), F.lit(":"), group(2))
+    ).otherwise(text)
 
 
 def _canonical_ipv6(text: Column) -> Column:

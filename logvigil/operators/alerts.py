@@ -81,9 +81,10 @@ def repeated_failures(events: DataFrame, minimum: int = 3) -> DataFrame:
 
 def suspicious_ips(alerts: DataFrame, k: int = 5) -> DataFrame:
     """Best alert of each source address, the ``k`` riskiest. Aggregating keeps a busy address from
-    being sorted in one task."""
+    being sorted in one task. Alerts without an address count as the source "Unknown"."""
     ranked = alerts.withColumn("risk", risk_score(F.lower("severity"), "low"))
-    best = ranked.filter(null_if_empty(F.col("source_ip")).isNotNull()).groupBy("source_ip").agg(
+    address = F.coalesce(null_if_empty(F.col("source_ip")), F.lit("Unknown"))
+    best = ranked.groupBy(address.alias("source_ip")).agg(
         F.min_by(F.struct("id", "risk", "severity", "rule"), F.struct(-F.col("risk"), F.col("id"))).alias("a")
     )
     return best.select("source_ip", "a.*").orderBy(F.desc("risk"), "id").limit(k)

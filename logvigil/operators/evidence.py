@@ -53,8 +53,8 @@ def alert_view(alerts: DataFrame, logs: DataFrame) -> DataFrame:
     # An alert has at most as many hits as it lists lines, so the lists are as bounded as its rows.
     evidence = hits.groupBy(F.col("alert_id").alias("id")).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("line_number", "log_id"))),
-            lambda h: L.evidence_id(h["log_id"]),
+            F.array_sort(F.collect_list(F.struct("line_number", "log_id", "upload_id"))),
+            lambda h: L.evidence_id(h["log_id"], h["upload_id"], h["line_number"]),
         ).alias("evidence_ids")
     )
     files = logs.groupBy("upload_id").agg(F.min_by("source_filename", "line_number").alias("source"))
@@ -115,6 +115,15 @@ def _first_by_event(incidents: DataFrame, name: str) -> DataFrame:
     )
 
 
+def _join_spread(rows: DataFrame, found: DataFrame, key: str, spread: str) -> DataFrame:
+    """Left join on ``key``. Rows without one get keys of their own, from ``spread``, that match nothing:
+    most rows have none, and their nulls would all meet in one task."""
+    own = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("none-"), F.col(spread).cast("string")))
+    return rows.withColumn("_key", own).join(
+        found.withColumn("_key", F.col(key).cast("string")).drop(key), "_key", "left"
+    ).drop("_key")
+
+
 def match_incident(incidents: DataFrame, alerts: DataFrame) -> DataFrame:
     """First incident of every alert: by alert id when both sides have one, else by shared events.
 
@@ -137,7 +146,7 @@ def match_incident(incidents: DataFrame, alerts: DataFrame) -> DataFrame:
     shared = keyed.join(per_event, "event_id", "left").groupBy("alert_id", "source_alert_id").agg(F.min(
         F.when(F.col("source_alert_id").isNull(), F.col("anyone")).otherwise(F.col("unsourced"))
     ).alias("shared"))
-    return shared.join(direct, "source_alert_id", "left").select(
+    return _join_spread(shared, direct, "source_alert_id", "alert_id").select(
         "alert_id", F.least("direct", "shared").alias("incident_id")
     )
 
@@ -163,7 +172,7 @@ def event_linked_incident(events: DataFrame, incidents: DataFrame) -> DataFrame:
         F.min("backend_id").alias("by_alert")
     )
     by_event = _first_by_event(incidents, "by_event").withColumnRenamed("event_id", "id")
-    return events.select("id", "log_id", "source_alert_id").join(by_alert, "source_alert_id", "left").join(
+    return _join_spread(events.select("id", "log_id", "source_alert_id"), by_alert, "source_alert_id", "id").join(
         by_event, "id", "left"
     ).select("id", "log_id", F.least("by_alert", "by_event").alias("incident_id"))
 
@@ -183,6 +192,10 @@ def linked_record_available(notes: DataFrame, incidents: DataFrame, alerts: Data
         part = table.select(F.lit(kind).alias("linked_type"), F.col("id").alias("linked_id"),
                             F.lit(True).alias("found"))
         keys = part if keys is None else keys.unionByName(part)
-    return notes.join(keys, ["linked_type", "linked_id"], "left").withColumn(
-        "available", (F.col("linked_type") == "workspace") | F.coalesce("found", F.lit(False))
-    ).drop("found")
+    # Workspace notes share one link and need no look-up; keys of their own keep them from meeting in one task.
+    workspace = F.col("linked_type") == "workspace"
+    spread = F.xxhash64(*notes.columns).cast("string")
+    keyed = notes.withColumn("_id", F.when(workspace, spread).otherwise(F.col("linked_id")))
+    return keyed.join(keys.withColumnRenamed("linked_id", "_id"), ["linked_type", "_id"], "left").select(
+        *notes.columns, (workspace | F.coalesce("found", F.lit(False))).alias("available")
+    )

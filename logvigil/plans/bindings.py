@@ -273,7 +273,7 @@ first_alert AS (
   SELECT * FROM listed QUALIFY row_number() OVER (PARTITION BY upload_id, line_number ORDER BY created_at, id) = 1),
 ev AS (
   SELECT *, {RISK.format('severity', 10)} AS risk FROM (
-    SELECT 'EVT-' || CASE WHEN l.id = 0 THEN left(l.upload_id, 8) || '-' || l.line_number ELSE CAST(l.id AS VARCHAR) END AS id,
+    SELECT 'EVT-' || CASE WHEN l.id = 0 THEN l.upload_id || '-' || l.line_number ELSE CAST(l.id AS VARCHAR) END AS id,
       l.id AS log_id, l.upload_id, l.line_number, a.id AS source_alert_id, l.event_timestamp AS "timestamp", l.ingested_at,
       l.source_filename AS source, coalesce(l.ip_address, 'Unknown') AS source_ip, coalesce(l.username, 'Unknown') AS "user",
       l.event_type AS event, lower(coalesce(a.severity, l.severity, 'info')) AS severity, lower(l.status) AS status,
@@ -284,7 +284,7 @@ ev AS (
 
 AV = f"""
 hits AS (
-  SELECT a.id, list('EVT-' || l.id ORDER BY l.line_number) AS evidence_ids
+  SELECT a.id, list('EVT-' || CASE WHEN l.id = 0 THEN l.upload_id || '-' || l.line_number ELSE CAST(l.id AS VARCHAR) END ORDER BY l.line_number) AS evidence_ids
   FROM (SELECT id, upload_id, unnest(matched_line_numbers) AS line_number FROM alerts) a
   JOIN logs l ON l.upload_id = a.upload_id AND l.line_number = a.line_number GROUP BY a.id),
 files AS (SELECT upload_id, arg_min(source_filename, line_number) AS source FROM logs GROUP BY upload_id),

@@ -170,7 +170,7 @@ def _(spark, folder):
 
 
 @query("c12_suspicious_ips", B.with_tables("alerts", f"""
-SELECT source_ip, id, risk, severity, rule FROM (SELECT *, {B.RISK.format('lower(severity)', 30)} AS risk FROM alerts WHERE source_ip IS NOT NULL)
+SELECT source_ip, id, risk, severity, rule FROM (SELECT * REPLACE (coalesce(nullif(source_ip, ''), 'Unknown') AS source_ip), {B.RISK.format('lower(severity)', 30)} AS risk FROM alerts)
 QUALIFY row_number() OVER (PARTITION BY source_ip ORDER BY risk DESC, id) = 1 ORDER BY risk DESC, id LIMIT 5"""))
 def _(spark, folder):
     return A.suspicious_ips(B.alerts(spark, folder))

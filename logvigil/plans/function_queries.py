@@ -297,8 +297,8 @@ def _(spark, folder):
 
 # ---- addresses and labels -----------------------------------------------------------------
 
-_V6 = ["2001:0DB8::0010", "::1", "2001:db8:0:0:1:0:0:1", "1.2.3", "fe80:0:0:0:0:0:0:9", "::", "1:2:3", ":::1", "12345::1"]
-_V6_CANONICAL = ["'2001:db8::10'", "'::1'", "'2001:db8::1:0:0:1'", "NULL", "'fe80::9'", "'::'", "NULL", "NULL", "NULL"]
+_V6 = ["2001:0DB8::0010", "::1", "2001:db8:0:0:1:0:0:1", "1.2.3", "fe80:0:0:0:0:0:0:9", "::", "1:2:3", ":::1", "12345::1", "::FFFF:1.2.3.4", "1:2:3:4:5:6:7:10.0.0.1"]
+_V6_CANONICAL = ["'2001:db8::10'", "'::1'", "'2001:db8::1:0:0:1'", "NULL", "'fe80::9'", "'::'", "NULL", "NULL", "NULL", "'::ffff:102:304'", "NULL"]
 
 
 @query("b23_optional_ip", B.with_tables("logs", f"SELECT id, {variant_sql('id', 'ip_address', *_V6_CANONICAL)} AS ip FROM logs"))

@@ -25,13 +25,15 @@ def build_session(app_name: str = "logvigil", **conf: str) -> SparkSession:
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's checkpoint folder so that a lost executor costs no rerun.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; a temporary folder is
-    used only where nothing is configured, as in tests on one machine.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local master, as in
+    tests on one machine, may leave it unset; a temporary folder is used then.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="logvigil-checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -1,7 +1,7 @@
 """File scan, admission checks, format detection and splitting into records.
 
-Everything up to the split works on one row per file. Files are limited to 10 MB by the admission
-check, so a row stays small, and the split needs no shuffle.
+Everything up to the split works on one row per file, so the split needs no shuffle. No file is refused
+for its size unless the caller sets ``max_file_bytes``; a file has to fit into one value, below 2 GB.
 """
 
 from __future__ import annotations
@@ -16,17 +16,19 @@ CSV_FIELD = r'(?:"(?:[^"]++|"")*+(?:"|\z)[^,\r\n]*+|[^,\r\n]*+)'
 CSV_RECORD = rf"({CSV_FIELD}(?:,{CSV_FIELD})*+)(?:\r\n|\n|\r|\z)"
 
 
-def scan_files(spark: SparkSession, *paths: str, recursive: bool = True) -> DataFrame:
+def scan_files(spark: SparkSession, *paths: str, recursive: bool = True, max_file_bytes: int | None = None) -> DataFrame:
     """One row per file: path, name, ext, length, modified, content.
 
-    Content is read only for files within the size limit; the reader prunes the others on length.
+    With a size limit, content is read only for files within it; the reader prunes the others on length.
     """
     found = (
         spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
         .load(list(paths))
     )
-    within = found.filter(F.col("length") <= V.MAX_FILE_BYTES)
-    beyond = found.filter(F.col("length") > V.MAX_FILE_BYTES).withColumn(
+    if max_file_bytes is None:
+        return describe_files(found)
+    within = found.filter(F.col("length") <= max_file_bytes)
+    beyond = found.filter(F.col("length") > max_file_bytes).withColumn(
         "content", F.lit(None).cast("binary")
     )
     return describe_files(within.unionByName(beyond))
@@ -45,7 +47,7 @@ def file_extension(name: Column) -> Column:
     return F.when(name.contains("."), F.lower(F.substring_index(name, ".", -1))).otherwise("")
 
 
-def validate_files(files: DataFrame) -> DataFrame:
+def validate_files(files: DataFrame, max_file_bytes: int | None = None) -> DataFrame:
     """Adds ``code`` (null when admitted) and ``text``. The first failing check names the code.
 
     Reads name, ext, length, content and, when present, content_type.
@@ -55,9 +57,10 @@ def validate_files(files: DataFrame) -> DataFrame:
     if "content_type" in files.columns:
         mime = strip(F.split_part(F.coalesce("content_type", F.lit("")), F.lit(";"), F.lit(1)))
         checks = checks.when((mime != "") & ~mime.isin(V.ALLOWED_MIME_TYPES), "INVALID_MIME_TYPE")
+    if max_file_bytes is not None:
+        checks = checks.when(F.col("length") > max_file_bytes, "FILE_TOO_LARGE")
     checks = (
-        checks.when(F.col("length") > V.MAX_FILE_BYTES, "FILE_TOO_LARGE")
-        .when(~as_bytes.rlike(r"[^\s]"), "EMPTY_FILE")
+        checks.when(~as_bytes.rlike(r"[^\s]"), "EMPTY_FILE")
         .when(as_bytes.contains("\u0000"), "BINARY_FILE")
         .when(~F.is_valid_utf8(F.col("content").cast("string")), "ENCODING_ERROR")
     )
@@ -79,8 +82,9 @@ def text_lines(text: Column) -> Column:
     return F.filter(F.split(text, LINE_BREAK), lambda line: line.rlike(r"\S"))
 
 
-def detect_format(ext: Column, lines: Column) -> Column:
-    head = F.slice(lines, 1, 5)
+def detect_format(ext: Column, lines: Column, sample_lines: int | None = 5) -> Column:
+    """Format by extension, else by the first ``sample_lines`` lines; None: by any line of the file."""
+    head = lines if sample_lines is None else F.slice(lines, 1, sample_lines)
     return (
         F.when(ext == "csv", "csv")
         .when(ext.isin("json", "jsonl"), "json")
@@ -90,10 +94,10 @@ def detect_format(ext: Column, lines: Column) -> Column:
     )
 
 
-def with_lines(files: DataFrame) -> DataFrame:
+def with_lines(files: DataFrame, sample_lines: int | None = 5) -> DataFrame:
     """Adds lines, format and total_lines to admitted files."""
     lines = files.withColumn("lines", text_lines(F.col("text")))
-    return lines.withColumn("format", detect_format(F.col("ext"), F.col("lines"))).withColumn(
+    return lines.withColumn("format", detect_format(F.col("ext"), F.col("lines"), sample_lines)).withColumn(
         "total_lines", F.size("lines").cast("bigint")
     )
 

@@ -91,7 +91,11 @@ def parse_generic(records: DataFrame) -> DataFrame:
 
 def _parse(records: DataFrame, formats: dict[str, Format]) -> DataFrame:
     """Add the parsed fields. With several formats, a row evaluates only its own branch, and what
-    all formats share is written once, which keeps the generated code small."""
+    all formats share is written once, which keeps the generated code small.
+
+    Sets ``spark.sql.variant.allowDuplicateKeys``: of a key that a JSON record repeats, the last value counts."""
+    records.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
     def branch(columns: dict[str, Column | None]) -> Column:
         chain = None
         for name, column in columns.items():
@@ -183,7 +187,7 @@ def _generic() -> Format:
     raw, kv, js, doc = F.col("raw"), F.col("_kv"), F.col("_js"), F.col("_doc")
 
     given = {
-        field: F.coalesce(X.pick_key(kv, names), X.pick_key(doc, names))
+        field: F.coalesce(X.null_if_empty(X.pick_key(kv, names)), X.null_if_empty(X.pick_key(doc, names)))
         for field, names in V.GENERIC_ALIASES.items()
     }
     given["timestamp"] = X.extract_timestamp(raw)

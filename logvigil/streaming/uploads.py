@@ -57,7 +57,7 @@ def process_files(found: DataFrame, number: int, output: str, year: int,
     parsed = store(parsers.parse_records(S.explode_records(files), year), "parsed")
     store(S.rejected(checked).select("path", "name", "length", "code"), "rejected_files")
     store(parsers.dead_letter(parsed), "dead_letter")
-    store(parsers.parse_summary(parsed), "summary")
+    store(parsers.parse_summary(parsed, files), "summary")
     entries = parsers.entries(parsed)
     store(sinks.build_log_rows(entries, moment), "logs")
     detected = D.run_detection(D.log_records(entries, year), rules)

@@ -24,10 +24,10 @@ CSV = 'Time Stamp,timestamp,ip,Status,Result,note\n1,2026-06-14T00:00:00Z,,fail,
 JSONL = '{"user": {"name": "sam"}, "source": {"ip": "1.2.3.4"}, "event": {"action": "login", "outcome": "failure"}}\n{bad\n[1, {"user": "ann", "level": "[high]"}]\n{"logs": [{"account": "x"}]}\n'
 
 
-def ingest(spark, tmp_path, files):
+def ingest(spark, tmp_path, files, limit=None):
     for name, content in files.items():
         (tmp_path / name).write_bytes(content if isinstance(content, bytes) else content.encode())
-    checked = S.validate_files(S.scan_files(spark, str(tmp_path)))
+    checked = S.validate_files(S.scan_files(spark, str(tmp_path), max_file_bytes=limit), limit)
     found = S.with_lines(S.admitted(checked)).withColumns({"upload_id": F.col("name"), "source_filename": F.col("name")})
     return checked, found, P.parse_records(S.explode_records(found), 2026)
 
@@ -35,12 +35,32 @@ def ingest(spark, tmp_path, files):
 def test_admission(spark, tmp_path):
     checked, _, _ = ingest(spark, tmp_path, {
         "a.exe": "x", "blank.log": " \n\t", "nul.log": b"a\x00b", "latin.csv": "caf\xe9".encode("latin-1"), "noext": "x",
-        "big.log": b"x" * (10 * 1024 * 1024 + 1), "fine.JSONL": "{}", "edge.log": b"y" * (10 * 1024 * 1024)})
+        "big.log": b"x" * (10 * 1024 * 1024 + 1), "fine.JSONL": "{}", "edge.log": b"y" * (10 * 1024 * 1024)}, 10 * 1024 * 1024)
     codes = {r["name"]: r["code"] for r in checked.select("name", "code").collect()}
     assert codes == {"a.exe": "INVALID_FILE_TYPE", "blank.log": "EMPTY_FILE", "nul.log": "BINARY_FILE", "latin.csv": "ENCODING_ERROR",
                      "noext": "INVALID_FILE_TYPE", "big.log": "FILE_TOO_LARGE", "fine.JSONL": None, "edge.log": None}
 
 
+def test_no_size_limit_unless_asked(spark, tmp_path):
+    (tmp_path / "big.log").write_bytes(b"x" * (10 * 1024 * 1024 + 1))
+    assert S.validate_files(S.scan_files(spark, str(tmp_path))).first()["code"] is None
+
+
+def test_format_over_all_lines(spark, tmp_path):
+    (tmp_path / "late.log").write_text("banner\n" * 6 + "Jun 14 02:11:00 web1 sshd[1]: Failed password for bob from 10.0.0.1 port 22 ssh2\n")
+    files = S.admitted(S.validate_files(S.scan_files(spark, str(tmp_path))))
+    assert S.with_lines(files).first()["format"] == "generic"
+    assert S.with_lines(files, sample_lines=None).first()["format"] == "syslog"
+
+
+def test_empty_values_and_repeated_keys(spark, tmp_path):
+    _, _, parsed = ingest(spark, tmp_path, {
+        "a.log": 'hello {"ip": "", "user": ""} from 10.1.2.3\n',
+        "b.json": '[{"user":"a","user":"b","ip":"1.2.3.4","event":"login","status":"ok"}]'})
+    found = {r["upload_id"]: (r["ip_address"], r["username"], r["reason"]) for r in parsed.collect()}
+    assert found == {"a.log": ("10.1.2.3", None, None), "b.json": ("1.2.3.4", "b", None)}
+
+
 def test_mime_is_checked_before_size(spark):
     row = spark.createDataFrame([("a", "log", 99_999_999, b"x", "image/png")], "name string, ext string, length long, content binary, content_type string")
     assert S.validate_files(row).first()["code"] == "INVALID_MIME_TYPE"
