@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from logvigil.llm import common, decontaminate, exact_dedup, licences, line_dedup, packing, simhash, substring, token_counts, token_files, toxicity
+from logvigil.llm import common, decontaminate, exact_dedup, licences, line_dedup, near_copies, packing, simhash, substring, token_counts, token_files, toxicity
 from logvigil.llm.vocab import Encoder
 
 FOLDER = "/root/testdata/sf0.001"
@@ -156,6 +156,51 @@ def test_simhash_splits_large_buckets(spark):
     assert all(got.get(n, n) == r for n, r in want.items())
 
 
+def plain_similarity(a, b, k=5):
+    sets = []
+    for text in (a, b):
+        words = text.encode().lower().split()
+        sets.append({tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_near_copies_equal_brute_force(spark, block):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for family in range(12):
+        base = [word() for _ in range(rng.choice([60, 300, 1500]))]
+        for edits in (0, 0.004, 0.006, 0.01, 0.1, 0.2):
+            rows.append((len(rows), " ".join(word() if rng.random() < edits else w for w in base)))
+    rows += [(1000 + i, t) for i, t in enumerate(["", None, " ", "a b", "A  B", "a c"])]
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), rows[5]], "doc_id long, text string").withColumn("f0", F.lit(1)).withColumn("key", F.lit("x"))
+    text = {i: t or "" for i, t in rows}
+    want = plain_components(text, lambda a, b: plain_similarity(text[a], text[b]) >= 0.8)
+    got = {r.doc_id: r.component_id for r in near_copies.similar_groups(docs, block=block).collect()}
+    assert set(got) == set(text) and got[1000] == got[1001] == got[1002] and got[1003] == got[1004] != got[1005]
+    assert all(want[i] == want[g] for i, g in got.items())  # nothing is joined that is not similar
+    assert sum(got[i] == w for i, w in want.items()) >= 0.97 * len(want)
+    kept = near_copies.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert collections.Counter(r.doc_id for r in kept.select("doc_id").collect()) == collections.Counter([*set(got.values()), None])
+    assert near_copies.similar_groups(empty(spark)).count() == 0
+
+
+def test_near_copies_of_the_tables(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: near_copies.shingles(r.text or "", 5) for r in table.collect()}
+    got = {r.doc_id: r.component_id for r in near_copies.similar_groups(table).collect()}
+    places = collections.defaultdict(list)
+    for i, found in rows.items():
+        for code in found[found % 16 == 0].tolist():
+            places[code].append(i)
+    pairs = {(a, b) for where in places.values() for i, a in enumerate(where) for b in where[i + 1 :]}
+    shared = {(a, b): len(np.intersect1d(rows[a], rows[b])) for a, b in pairs}
+    similar = [p for p, n in shared.items() if n >= 0.8 * (len(rows[p[0]]) + len(rows[p[1]]) - n)]
+    assert similar and sum(got[a] == got[b] for a, b in similar) >= 0.9 * len(similar)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_components_equal_brute_force(spark, seed):
     rng = random.Random(seed)
