@@ -10,7 +10,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logvigil.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from logvigil.llm import decontaminate, exact_dedup, near_copies, packing, toxicity
 from logvigil.llm.common import shared_folder
 
 
@@ -23,8 +23,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Near copies in the strict sense: five-word shingles.
-    return simhash.keep_one(docs, k=5, bits=3)
+    return near_copies.keep_one(docs, k=5, similarity=0.8)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
