@@ -8,7 +8,7 @@ one that names a single person twice).
 
 A document holds an item when at least ``share`` of the item's windows match on one alignment, or a run
 of ``run`` words does, and the slots agree. A window needs ``literals`` words that are no placeholders,
-so lists of names or numbers match nothing. Items shorter than a window are matched whole.
+so lists of names or numbers match nothing. Items shorter than a window are not looked for.
 
 Nulls: null texts are empty and match nothing, rows with a null item id or null document id are kept and
 matched like others. Documents that repeat a row are matched each; the result has a (document, item) pair
@@ -62,7 +62,7 @@ def _placeholder(word: Column) -> Column:
 
 
 def _windows(tpl: Column, n: int) -> Column:
-    """64-bit hash of every run of n template words; of the whole text where it is shorter."""
+    """64-bit hash of every run of n template words; none where the text is shorter."""
     def rolled(codes: Column) -> Column:
         every = F.transform(F.sequence(F.lit(1), F.size(codes) - (n - 1)), lambda i: F.xxhash64(*[F.element_at(codes, i + j) for j in range(n)]))
         return F.when(F.size(codes) >= n, every).otherwise(F.array().cast("array<bigint>"))
