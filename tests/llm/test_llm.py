@@ -286,6 +286,30 @@ def test_chains_equal_quadratic_program():
         assert all(x[a] < x[b] and y[a] < y[b] for c in found for a, b in zip(c, c[1:]))
 
 
+def test_chains_with_gap_equal_quadratic_program():
+    def plain(x, y, k, gap):
+        score = []
+        for i in range(len(x)):
+            near = [score[j] + (x[j] + y[j] - x[i] - y[i]) // 8 for j in range(i) if 0 < x[i] - x[j] <= gap and 0 < y[i] - y[j] <= gap]
+            score.append(k + max([0, *near]))
+        return score
+
+    rng = random.Random(8)
+    for _ in range(200):
+        points = sorted({(rng.randrange(400), rng.randrange(400)) for _ in range(rng.randrange(1, 80))})
+        x, y = map(list, zip(*points))
+        best = substring.chains(x, y, 6, 60)[0]
+        value = 0
+        for a, b in zip([None, *best], best):
+            value = 6 + (0 if a is None else value + (x[a] + y[a] - x[b] - y[b]) // 8)
+            assert a is None or (0 < x[b] - x[a] <= 60 and 0 < y[b] - y[a] <= 60)
+        assert value == max(plain(x, y, 6, 60))
+    for apart in (100, 300, 1000):  # a second passage has its own chain, however long the first one
+        first, second = list(range(0, 200, 6)), list(range(200 + apart, 300 + apart, 6))
+        x = [*first, *second]
+        assert sorted(map(len, substring.chains(x, x, 6, 60))) == [len(second), len(first)]
+
+
 def plain_licences(text):
     words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
     spots = [(i, label) for label, phrase in licences.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.encode().split()]
