@@ -310,6 +310,35 @@ def test_chains_with_gap_equal_quadratic_program():
         assert sorted(map(len, substring.chains(x, x, 6, 60))) == [len(second), len(first)]
 
 
+def test_weak_ends_do_not_drop_a_passage(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    passage, line = some(60), some(10)
+    docs = [(1, some(80) + passage + some(30) + line + some(50)), (2, some(90) + passage + some(30) + line + some(60)),
+            # words before the passage stand again inside it
+            (3, some(60) + passage[40:43] + some(5) + passage + some(60)), (4, some(70) + passage + some(60))]
+    got = substring.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()
+    first = {i: next(at for at in range(len(w)) if w[at : at + 60] == passage) for i, w in docs}
+    for i in first:
+        assert any(r.start <= first[i] and r.start + r.n_words >= first[i] + 60 and r.n_equal >= 0.8 * r.n_words for r in got if r.doc_id == i)
+
+
+def test_stretches_equal_brute_force():
+    rng = random.Random(10)
+    for _ in range(100):
+        runs, i, j = [], 0, 0
+        for _ in range(rng.randrange(0, 12)):
+            i, j, n = i + rng.randrange(0, 8), j + rng.randrange(0, 8), rng.randrange(1, 20)
+            runs.append((i, j, n))
+            i, j = i + n, j + n
+        fit = [min(runs[e][0] + runs[e][2] - runs[s][0], runs[e][1] + runs[e][2] - runs[s][1]) for s in range(len(runs)) for e in range(s, len(runs))
+               if sum(r[2] for r in runs[s : e + 1]) >= 0.8 * max(runs[e][0] + runs[e][2] - runs[s][0], runs[e][1] + runs[e][2] - runs[s][1])]
+        got = substring.stretches(runs, 20, 0.8)
+        assert max((min(a1 - a0, b1 - b0) for _, a0, a1, b0, b1 in got), default=0) == max([f for f in fit if f >= 20], default=0)
+        assert all(e >= 0.8 * max(a1 - a0, b1 - b0) for e, a0, a1, b0, b1 in got) and all(p[2] <= q[1] for p, q in zip(got, got[1:]))
+
+
 def plain_licences(text):
     words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
     spots = [(i, label) for label, phrase in licences.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.encode().split()]
