@@ -339,6 +339,26 @@ def test_stretches_equal_brute_force():
         assert all(e >= 0.8 * max(a1 - a0, b1 - b0) for e, a0, a1, b0, b1 in got) and all(p[2] <= q[1] for p, q in zip(got, got[1:]))
 
 
+def test_passages_near_the_identity_are_found(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    docs, spots = [], {}
+    for pair in range(120):
+        passage, copy = some(60), None
+        edits = (rng.sample(range(1, 59), 6), rng.sample(range(1, 59), 9), rng.sample(range(1, 59), 11), range(4, 59, 6))[pair % 4]
+        copy = [rng.choice(vocabulary) if i in edits else w for i, w in enumerate(passage)]
+        for side, body in enumerate((passage, copy)):
+            before = rng.randrange(20, 90)
+            docs.append((2 * pair + side, " ".join(some(before) + body + some(70))))
+            spots[2 * pair + side] = before
+    got = substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {r.doc_id for r in got if r.other_id == r.doc_id ^ 1 and abs(r.start - spots[r.doc_id]) <= 8}
+    for kind in range(4):  # 10, 15, 18 % of the words at random, then every sixth
+        assert len([d for d in found if d // 2 % 4 == kind]) >= 57  # of 60
+    assert all(r.n_equal >= 0.8 * r.n_words for r in got)
+
+
 def plain_licences(text):
     words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
     spots = [(i, label) for label, phrase in licences.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.encode().split()]
