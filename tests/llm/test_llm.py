@@ -359,6 +359,25 @@ def test_passages_near_the_identity_are_found(spark):
     assert all(r.n_equal >= 0.8 * r.n_words for r in got)
 
 
+def test_equal_passages_meet_without_a_hub(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    docs, want = [], {}
+    for i in range(0, 40, 4):  # first half, whole, second half or heavily edited, whole
+        passage = some(60)
+        edited = [word() if j % 3 == 0 else w for j, w in enumerate(passage)]
+        for j, body in enumerate((passage[:30], passage[30:], passage, passage) if i % 8 else (edited[:30], edited[30:], passage, passage)):
+            docs.append((i + j, " ".join(some(80) + body + some(70))))
+            if j > 1:
+                want[i + j] = i + 5 - j
+    docs += [(1000 + i, " ".join(some(50) + list("xyzuvw") * 12 + some(20))) for i in range(40)]  # one frequent passage
+    got = substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in got if r.doc_id < 1000} == set(want.items())
+    assert all(abs(r.start - 80) <= 3 and 57 <= r.n_words <= 66 for r in got if r.doc_id < 1000)
+    assert {r.doc_id for r in got if r.doc_id >= 1000} == set(range(1000, 1040))
+
+
 def plain_licences(text):
     words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
     spots = [(i, label) for label, phrase in licences.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.encode().split()]
