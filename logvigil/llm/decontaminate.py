@@ -2,12 +2,13 @@
 
 Numbers, units behind numbers and names become typed placeholders, so that a question asked again with
 other values has the same template. Windows of the template are hash-joined with those of the
-benchmark; matches of one item on one alignment are then compared word by word, and the values that
-stand in the placeholders must map to each other one to one (a question about two people cannot match
-one that names a single person twice).
+benchmark; matches of one item on one alignment are then compared word by word. Where the raw words alone
+do not suffice, the names that stand in the placeholders must map to each other one to one (a question
+about two people cannot match one that names a single person twice), but for ``slack`` of them; numbers
+and units may take any values, equal ones too.
 
 A document holds an item when at least ``share`` of the item's windows match on one alignment, or a run
-of ``run`` words does, and the slots agree. A window needs ``literals`` words that are no placeholders,
+of ``run`` words does, by the raw words or by templates whose names agree. A window needs ``literals`` words that are no placeholders,
 so lists of names or numbers match nothing. Items shorter than a window are not looked for.
 
 Nulls: null texts are empty and match nothing, rows with a null item id or null document id are kept and
@@ -70,8 +71,27 @@ def _windows(tpl: Column, n: int) -> Column:
     return _let(F.transform(tpl, lambda w: F.xxhash64(w)), rolled)
 
 
+def _longest(at: Column) -> Column:
+    """Longest run of consecutive windows, 0 of none: positions minus their rank are equal within a run."""
+    return F.coalesce(_let(F.transform(at, lambda p, i: p - i), lambda ranks: F.array_max(
+        F.transform(F.array_distinct(ranks), lambda r: F.size(F.filter(ranks, lambda x: x == r))))), F.lit(0))
+
+
+def _agreeing(names: Column) -> Column:
+    """How many of the (a, b) pairs belong to a one-to-one map that prefers the frequent ones."""
+    counted = F.transform(F.array_distinct(names), lambda p: F.struct(F.size(F.filter(names, lambda q: q == p)).alias("n"), p.alias("p")))
+
+    def kept(ps: Column) -> Column:
+        rival = lambda p, q: ((q["p"]["a"] == p["p"]["a"]) != (q["p"]["b"] == p["p"]["b"])) & (
+            (q["n"] > p["n"]) | ((q["n"] == p["n"]) & (q["p"] < p["p"])))
+        return F.aggregate(F.filter(ps, lambda p: ~F.exists(ps, lambda q: rival(p, q))), F.lit(0), lambda total, p: total + p["n"])
+
+    return _let(counted, kept)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-                 window: int = 5, share: float = 0.8, run: int = 13, literals: int = 3, broadcast_rows: int = 100_000) -> DataFrame:
+                 window: int = 5, share: float = 0.8, run: int = 13, literals: int = 3, broadcast_rows: int = 100_000,
+                 slack: float = 0.1) -> DataFrame:
     """Pairs ``doc_id, item_id`` with ``n_windows`` of the item that match, ``share`` of them, ``longest`` run in words and ``slots`` compared.
 
     Items shorter than ``window`` words cannot be told from ordinary speech and are not looked for.
@@ -90,11 +110,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: st
     hits = seen.join(spots, "code").groupBy("doc_id", "row_key", "item_id", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(
         F.array_sort(F.collect_set("ipos")).alias("at")
     )
-    # Longest run of consecutive windows: positions minus their rank are equal within a run.
-    longest = _let(F.transform("at", lambda p, i: p - i), lambda ranks: F.array_max(
-        F.transform(F.array_distinct(ranks), lambda r: F.size(F.filter(ranks, lambda x: x == r)))))
     hits = hits.join(sizes, hits["item_id"].eqNullSafe(sizes["item_id"])).drop(sizes["item_id"])
-    hits = hits.withColumn("n_windows", F.size("at")).withColumn("longest", longest + (window - 1))
+    hits = hits.withColumn("n_windows", F.size("at")).withColumn("longest", _longest(F.col("at")) + (window - 1))
     likely = hits.filter((F.col("n_windows") >= share * F.col("of")) | (F.col("longest") >= run))
     # Each alignment that is left is compared slot by slot.
     likely = likely.join(bench.select(F.col("item_id").alias("_item"), "iw"), F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
@@ -103,7 +120,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: st
         F.transform("iw", lambda w, i: F.struct(w["raw"].alias("a"), w["tpl"].alias("tpl"), i.alias("i"))),
         lambda w: _placeholder(w["tpl"]) & (w["i"] >= F.array_min("at") - window) & (w["i"] < F.array_max("at") + 2 * window),
     )
-    likely = checkpointed(likely.withColumn("slots", slots).drop("iw", "at"))
+    likely = checkpointed(likely.withColumn("slots", slots).drop("iw"))
     plain, open_ = likely.filter(F.size("slots") == 0), likely.filter(F.size("slots") > 0)
     keys = open_.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
     if keys.count() <= broadcast_rows:
@@ -111,14 +128,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: st
     texts_again = rows.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key"))).drop("doc_id", "row_key")
     filled = open_.join(texts_again, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")))
     filled = filled.withColumn("dw", words(F.col("text")))
+
     def paired(dw: Column) -> Column:
         there = lambda s: F.get(dw, s["i"] + F.col("shift"))
         same = F.filter("slots", lambda s: F.coalesce(there(s)["tpl"] == s["tpl"], F.lit(False)))
-        return F.array_distinct(F.transform(same, lambda s: F.struct(F.lower(s["a"]).alias("a"), F.lower(there(s)["raw"]).alias("b"))))
-
-    pairs = _let(F.col("dw"), paired)
-    filled = filled.withColumn("pairs", pairs).filter(
-        (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.a")))) & (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.b"))))
+        return F.transform(same, lambda s: F.struct(F.lower(s["a"]).alias("a"), F.lower(there(s)["raw"]).alias("b"), s["tpl"].alias("tpl"), s["i"].alias("i")))
+
+    filled = filled.withColumn("pairs", _let(F.col("dw"), paired))
+    other = F.transform(F.filter("pairs", lambda s: s["a"] != s["b"]), lambda s: s["i"])
+    raw = _let(other, lambda bad: F.filter("at", lambda p: ~F.exists(bad, lambda b: (b >= p) & (b < p + window))))
+    names = F.transform(F.filter("pairs", lambda s: s["tpl"] == NAME), lambda s: F.struct(s["a"], s["b"]))
+    filled = filled.withColumn("raw", raw).withColumn("names", names).filter(
+        (F.size("raw") >= share * F.col("of")) | (_longest(F.col("raw")) + (window - 1) >= run)
+        | (_agreeing(F.col("names")) >= (1 - slack) * F.size("names"))
     )
     out = ["doc_id", "item_id", "n_windows", "of", "longest", F.size("slots").alias("n_slots")]
     found = plain.select(*out).union(filled.select(*out))

@@ -439,6 +439,19 @@ def test_decontamination_templates(spark):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_slots_may_coincide(spark):
+    shop = "A shop sells 3 apples and 5 pears in 2 boxes with 2 bags and asks how many pieces of fruit are left"
+    story = ("If the farmer Ann Miller counts all the sheep on the long green hill before the sun goes down behind the old stone wall "
+             "then the shepherd of the valley will bring every lamb home while the farmer Ann Miller waits at the gate with warm milk for all")
+    items = spark.createDataFrame([(1, shop), (2, story), (3, QUESTION)], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, shop.replace("3", "4").replace("5", "4")), (2, shop.replace("2 boxes", "3 boxes").replace("2 bags", "4 bags")),
+        (3, "Ann Miller".join(story.split("Ann Miller")[:2]) + "Zoe Green" + story.split("Ann Miller")[2]),
+        (4, QUESTION.replace("Ann", "Eve").replace("Miller", "Jones").replace("Bob Stone", "Eve Jones").replace("12", "7")),  # two people became one
+    ], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == {(1, 1), (2, 1), (3, 2)}
+
+
 def test_decontamination_finds_planted_items(spark):
     docs, items = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
     bench = [(r.item_id, re.findall(r"\w+", r.text.lower())) for r in items.collect()]
