@@ -8,7 +8,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logvigil.llm import decontaminate, exact_dedup, licences, line_dedup, packing, simhash, substring, token_counts, token_files, toxicity
+from logvigil.llm import (
+    decontaminate, exact_dedup, licences, line_dedup, packing, periodic_runs, prefix_trie, secret_scan, simhash, substring, token_counts, token_files, toxicity,
+)
 from logvigil.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +84,18 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_template_decontamination")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@_query("op11_secret_scan")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, folder, "documents"))
+
+
+@_query("op12_prefix_trie")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"), lead=True)
+
+
+@_query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.find_runs(table(spark, folder, "documents"), plant=True, whole=False)
