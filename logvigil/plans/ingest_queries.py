@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
 
 from logvigil.functions import fixed_values as V
 from logvigil.plans import bindings as B
 from logvigil.plans import function_queries as Q
 from logvigil.plans import lines, snippets as S
-from logvigil.plans.registry import query
-from logvigil.sources import files, parsers, sinks
+from logvigil.plans.registry import CHECKS, query
+from logvigil.session import shared_folder
+from logvigil.sources import files, parsers, sinks, splits
 
 CORE = ["timestamp", "ip_address", "username", "event_type", "status", "severity"]
 
@@ -237,3 +240,78 @@ def _(spark, folder):
                      Q.text("@", role), F.lit(None).cast("string"))
     rows = B.table(spark, folder, "conversations").select("conv_id", "turn", cell.alias("cell"))
     return rows.select("conv_id", "turn", F.concat_ws(",", sinks.csv_guard(F.col("conv_id")), sinks.csv_guard(F.col("cell"))).alias("line"))
+
+
+# ---- files of any size, read by splits ------------------------------------------------------
+
+def _named(path):
+    return F.regexp_extract(path, "/name=([^/]+)/", 1)
+
+
+def _as_files(texts: DataFrame, *order: str) -> str:
+    """Rows of ``name, text`` written as files, one folder for each name; the folder they are in."""
+    place = f"{shared_folder(texts.sparkSession)}/split-files-{uuid.uuid4().hex}"
+    texts.repartition("name").sortWithinPartitions("name", *order).select("name", "text").write.partitionBy("name").text(place)
+    return place
+
+
+@query("a02b_size_limit", """
+SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'INVALID_FILE_TYPE' WHEN doc_id % 10 = 1 THEN 'INVALID_MIME_TYPE' WHEN size > 2000 THEN 'FILE_TOO_LARGE'
+    WHEN doc_id % 10 = 2 THEN 'EMPTY_FILE' WHEN doc_id % 10 = 3 THEN 'BINARY_FILE'
+    WHEN doc_id % 10 = 4 THEN CASE WHEN regexp_matches(text, '[\\x{80}-\\x{FF}]') THEN 'ENCODING_ERROR' END END AS code
+FROM (SELECT doc_id, text, CASE doc_id % 10 WHEN 2 THEN 4 WHEN 3 THEN strlen(text) + 1 WHEN 4 THEN length(text) ELSE strlen(text) END AS size FROM documents)""")
+def _(spark, folder):
+    return files.validate_files(_candidate_files(spark, folder), max_file_bytes=2000).select("doc_id", "code")
+
+
+@query("a03b_split_lines", f"""
+SELECT 'docs' || (doc_id // 1000) || '.txt' AS name, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id, place) AS line_number, raw
+FROM (SELECT doc_id, unnest(parts) AS raw, unnest(range(len(parts))) AS place
+  FROM (SELECT doc_id, regexp_split_to_array(text, '{_BREAKS}') AS parts FROM documents))
+WHERE regexp_matches(raw, '\\S')""")
+def _(spark, folder):
+    """A thousand documents a file, each file read in many splits."""
+    name = Q.text("docs", F.floor(F.col("doc_id") / 1000), ".txt")
+    place = _as_files(B.table(spark, folder, "documents").select(name.alias("name"), "doc_id", "text"), "doc_id")
+    return splits.split_lines(spark, place, name=_named, split_bytes=1 << 18).select("name", "line_number", "raw")
+
+
+def _split_uploads(spark, folder, texts: DataFrame) -> DataFrame:
+    records, _ = splits.split_records(spark, _as_files(texts), name=_named, split_bytes=1 << 13)
+    return records.withColumns({"upload_id": F.col("name"), "source_filename": F.col("name")})
+
+
+def _uploads(spark, folder, ext: str) -> DataFrame:
+    found = lines.upload_files(spark, folder).filter(F.col("ext") == ext)
+    return found.select("name", F.col("content").cast("string").alias("text"))
+
+
+@query("a07b_split_csv", CHECKS["a07_parse_csv"])
+def _(spark, folder):
+    """The CSV files of a07 in splits of 8 kB."""
+    found = parsers.parse_csv(_split_uploads(spark, folder, _uploads(spark, folder, "csv")))
+    return _parsed(found, _field("remark"), _field("score", "bigint"))
+
+
+@query("a08b_split_json_lines", CHECKS["a08_parse_json"])
+def _(spark, folder):
+    """The JSON lines of a08 in splits of 8 kB."""
+    return _parsed(parsers.parse_json(_split_uploads(spark, folder, _uploads(spark, folder, "jsonl"))), _field("message"))
+
+
+@query("a08c_split_json_document", CHECKS["a08_parse_json"])
+def _(spark, folder):
+    """The good lines of each file of a08 as one array under a key, all on one line, in splits of 8 kB."""
+    texts = _uploads(spark, folder, "jsonl")
+    good = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"\S") & ~line.startswith("{broken"))
+    document = F.concat(F.lit('{"source": "export, part [1] of {1}", "events": ['), F.array_join(good, ", "), F.lit('], "more": [{"events": [1]}]}'))
+    return _parsed(parsers.parse_json(_split_uploads(spark, folder, texts.select("name", document.alias("text")))), _field("message"))
+
+
+@query("a13b_split_summary", CHECKS["a13_parse_summary"])
+def _(spark, folder):
+    """All formats of a13 in splits of 8 kB; the files are read and parsed once."""
+    texts = lines.upload_files(spark, folder).select("name", F.col("content").cast("string").alias("text"))
+    records, found = splits.split_records(spark, _as_files(texts), name=_named, split_bytes=1 << 13)
+    ids = {"upload_id": F.col("name"), "source_filename": F.col("name")}
+    return parsers.parse_summary(parsers.parse_records(records.withColumns(ids), lines.YEAR), found.filter("code IS NULL").withColumns(ids))

@@ -28,14 +28,19 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     The folder is the one the session names in ``spark.checkpoint.dir``. Only a local master, as in
     tests on one machine, may leave it unset; a temporary folder is used then.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, which the driver and all executors see."""
     context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="logvigil-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return (configured or context.getCheckpointDir()).rstrip("/")
 
 
 def ship_with_tasks(module_name: str) -> None:

@@ -165,7 +165,7 @@ def json_records(document: Column) -> Column:
     )
 
 
-def _one_document(text: Column) -> Column:
+def one_document(text: Column) -> Column:
     """Compact text of the single JSON document in ``text``, null when there is not exactly one."""
     items = json_items(text)
     return F.when(F.size(items) == 1, items[0])
@@ -179,7 +179,7 @@ def _json_text_records(text: Column) -> Column:
     physical = F.split(text, LINE_BREAK)
     per_line = F.filter(
         F.transform(physical, lambda line, i: F.struct(
-            line.alias("line"), (i + 1).alias("number"), _one_document(line).alias("document"))),
+            line.alias("line"), (i + 1).alias("number"), one_document(line).alias("document"))),
         lambda l: l["line"].rlike(r"\S"),
     )
     bad = F.transform(
@@ -190,7 +190,7 @@ def _json_text_records(text: Column) -> Column:
     documents = F.transform(
         F.filter(per_line, lambda l: l["document"].isNotNull()), lambda l: json_records(l["document"])
     )
-    whole = _one_document(text)
+    whole = one_document(text)
     good = F.when(whole.isNotNull(), json_records(whole)).otherwise(F.flatten(documents))
     numbered = F.transform(
         good,
