@@ -10,6 +10,10 @@ All rules run in one pass: each log row becomes one row per rule that wants it,
 range-partitioned on (rule, upload, subject, time, line), and every task picks intervals in its own
 piece. A subject that spans several pieces is stitched together from piece summaries of at most
 ``threshold`` rows each, so no task ever holds a whole subject.
+
+A task reads its piece batch by batch (``spark.sql.execution.arrow.maxRecordsPerBatch``) and keeps
+between batches only the rows of the last subject that a later alert can still list: those after the
+last alert and within the window. Memory is a batch and an open window, however large the piece.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 import bisect
 import json
 from collections import defaultdict
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -162,32 +166,34 @@ def _candidates(logs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 # ---- one piece ---------------------------------------------------------------------------
 
+def _key_runs(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """Where the rows of each key start and end, and the keys."""
+    keys = [rows[k].to_numpy() for k in KEYS]
+    change = np.zeros(len(rows), bool)
+    change[0] = True
+    for key in keys:
+        change[1:] |= key[1:] != key[:-1]
+    starts = np.flatnonzero(change)
+    return starts, np.append(starts[1:], len(rows)), [tuple(k[s] for k in keys) for s in starts]
+
+
 class Piece:
-    """The sorted rows of one task, as arrays, with the interval structure of every row."""
+    """Sorted rows as arrays, with the interval structure of every row."""
 
-    def __init__(self, rows: pd.DataFrame, rules: Sequence[Rule], edges_only: bool = False):
+    def __init__(self, rows: pd.DataFrame, rules: Sequence[Rule]):
         self.rows, self.rules = rows, rules
         self.us = rows["us"].to_numpy(np.int64)
         self.line = rows["line_number"].to_numpy(np.int64)
         self.dim = rows["dim"].to_numpy(object)
-        keys = [rows[k].to_numpy() for k in KEYS]
-        change = np.zeros(len(rows), bool)
-        change[0] = True
-        for key in keys:
-            change[1:] |= key[1:] != key[:-1]
-        self.starts = np.flatnonzero(change)
-        self.ends = np.append(self.starts[1:], len(rows))
-        self.key_start = np.repeat(self.starts, self.ends - self.starts)
-        self.keys = [tuple(k[s] for k in keys) for s in self.starts]
+        self.starts, self.ends, self.keys = _key_runs(rows)
         self.rule_of_key = [int(k[0]) for k in self.keys]
-        self.edges = sorted({0, len(self.keys) - 1})  # only these can continue in another piece
         self.burst_end: dict[int, int] = {}
-        self.ends_at, self.starts_at = self._intervals(self.edges if edges_only else range(len(self.keys)))
+        self.ends_at, self.starts_at = self._intervals()
 
-    def _intervals(self, wanted: Iterable[int]) -> tuple[list[int], list[int]]:
+    def _intervals(self) -> tuple[list[int], list[int]]:
         """Rows that may fire, in order, and the row each one reaches back to."""
         tight = np.full(len(self.us), -1, np.int64)
-        for k in wanted:
+        for k in range(len(self.keys)):
             start, end, rule = int(self.starts[k]), int(self.ends[k]), self.rules[self.rule_of_key[k]]
             if rule.is_burst:
                 self._burst_intervals(start, end, rule, tight)
@@ -250,64 +256,122 @@ class Piece:
             after = fired
             i = bisect.bisect_right(self.starts_at, after, lo=i + 1)
 
-    def at(self, j: int | None) -> list[int] | None:
-        return None if j is None else [int(self.us[j]), int(self.line[j])]
+    def open_rows(self, picks: list[tuple[int, int]]) -> slice:
+        """Rows of the last key that an alert further on may list."""
+        start, end, rule = int(self.starts[-1]), int(self.ends[-1]), self.rules[self.rule_of_key[-1]]
+        now, window = self.us[end - 1], rule.window_seconds * MICROS
+        floor = now - window
+        if rule.is_burst:
+            successes = np.flatnonzero(self.dim[start:end] == "SUCCESS")
+            start += int(successes[-1]) + 1 if len(successes) else 0
+            last = self._last_burst(start, end, rule)
+            if last is not None and now - self.us[last] <= rule.success_window_seconds * MICROS:
+                floor = min(floor, self.us[last] - window)
+        else:
+            if picks:
+                start = max(start, picks[-1][0] + 1)
+            if not rule.distinct:
+                start = max(start, end - rule.threshold + 1)
+        return slice(start + int(np.searchsorted(self.us[start:end], floor, "left")), end)
 
-    # -- what later pieces need to know --
 
-    def summary(self, k: int) -> dict:
-        """Bounded description of the piece of key ``k``: see ``stitch``."""
-        start, end, rule = int(self.starts[k]), int(self.ends[k]), self.rules[self.rule_of_key[k]]
-        return self._burst_summary(start, end, rule) if rule.is_burst else self._count_summary(start, end, rule)
+def _point(rows: pd.DataFrame, j: int) -> list[int]:
+    return [int(rows["us"].iat[j]), int(rows["line_number"].iat[j])]
 
-    def _count_summary(self, start: int, end: int, rule: Rule) -> dict:
-        value = (lambda j: self.dim[j]) if rule.distinct else (lambda j: None)
-        head, tail, seen = [], [], set()
-        for j in range(start, end):  # first sight of each value, until the piece stands on its own
-            if len(head) == rule.threshold - 1:
-                break
-            if rule.distinct:
-                if self.dim[j] in seen:
-                    continue
-                seen.add(self.dim[j])
-            head.append(j)
-        seen = set()
-        for j in range(end - 1, start - 1, -1):  # last sight of each value, most recent first
-            if len(tail) == rule.threshold:
+
+class CountSummary:
+    """Bounded description of one key's rows in a piece, fed in order: see ``stitch``.
+
+    Alerts are followed once from the start and once from each of the first sights, since an earlier
+    piece may fire at any of them.
+    """
+
+    def __init__(self, key: tuple, rules: Sequence[Rule]):
+        self.key, self.rules, self.rule = key, rules, rules[int(key[0])]
+        self.rows: pd.DataFrame | None = None  # last sights, most recent last
+        self.at = np.zeros(0, np.int64)  # their places in the task
+        self.head: list[list] = []
+        self.seen: set = set()
+        self.first = None
+        self.after, self.last = [-1], [None]  # by walk: the row it fired at last
+
+    def add(self, part: pd.DataFrame, offset: int) -> None:
+        held = 0 if self.rows is None else len(self.rows)
+        rows = pd.concat([self.rows, part], ignore_index=True) if held else part.reset_index(drop=True)
+        at = np.append(self.at, offset + np.arange(len(part)))
+        piece = Piece(rows, self.rules)
+        new = bisect.bisect_left(piece.ends_at, held)
+        ends, starts = piece.ends_at[new:], piece.starts_at[new:]
+        distinct = self.rule.distinct
+        fresh = held + np.flatnonzero(~part["dim"].duplicated().to_numpy()) if distinct else np.arange(held, len(rows))
+        for j in fresh.tolist():  # first sight of each value, until the piece stands on its own
+            if len(self.head) == self.rule.threshold - 1:
                 break
-            if rule.distinct:
-                if self.dim[j] in seen:
-                    continue
-                seen.add(self.dim[j])
-            tail.append(j)
-
-        def last_fire(after: int) -> int | None:
-            last = None
-            for last, _ in self.picked(after, end):
-                pass
-            return last
-
-        first = next(self.picked(start - 1, end), (None, None))[0]
+            value = piece.dim[j] if distinct else None
+            if distinct and value in self.seen:
+                continue
+            self.seen.add(value)
+            self.head.append([*_point(rows, j), value, int(at[j])])
+            self.after.append(int(at[j]))
+            self.last.append(None)
+        where = at[np.array(starts, np.int64)].tolist() if starts else []
+        for walk, after in enumerate(self.after):
+            i = bisect.bisect_right(where, after)
+            while i < len(ends):
+                self.last[walk] = _point(rows, ends[i])
+                after = int(at[ends[i]])
+                if walk == 0 and self.first is None:
+                    self.first = [*self.last[0], after]
+                i = bisect.bisect_right(where, after, lo=i + 1)
+            self.after[walk] = after
+        kept = ~rows["dim"].duplicated(keep="last").to_numpy() if distinct else np.ones(len(rows), bool)
+        kept = np.flatnonzero(kept)[-self.rule.threshold :]
+        self.rows, self.at = rows.iloc[kept], at[kept]
+
+    def told(self) -> dict:
+        value = (lambda j: self.rows["dim"].iat[j]) if self.rule.distinct else (lambda j: None)
         return {
-            "head": [[*self.at(j), value(j), j, self.at(last_fire(j)) or self.at(j)] for j in head],
-            "first": None if first is None else [*self.at(first), first],
-            "last": self.at(last_fire(start - 1)),
-            "tail": [[*self.at(j), value(j)] for j in tail],
+            "head": [[*h, last or h[:2]] for h, last in zip(self.head, self.last[1:])],
+            "first": self.first, "last": self.last[0],
+            "tail": [[*_point(self.rows, j), value(j)] for j in range(len(self.rows) - 1, -1, -1)],
         }
 
-    def _burst_summary(self, start: int, end: int, rule: Rule) -> dict:
-        successes = start + np.flatnonzero(self.dim[start:end] == "SUCCESS")
-        first = int(successes[0]) if len(successes) else None
-        last = int(successes[-1]) if len(successes) else None
-        head_end = end if first is None else first
-        tail_start = start if last is None else last + 1
+
+class BurstSummary:
+    """The same for a burst that a success has to follow."""
+
+    def __init__(self, key: tuple, rules: Sequence[Rule]):
+        self.key, self.rules, self.rule = key, rules, rules[int(key[0])]
+        self.rows: pd.DataFrame | None = None  # the latest since the last success
+        self.head: list[list] = []
+        self.head_burst = self.success = self.last_success = self.tail_burst = None
+
+    def add(self, part: pd.DataFrame, offset: int) -> None:
+        held = 0 if self.rows is None else len(self.rows)
+        rows = pd.concat([self.rows, part], ignore_index=True) if held else part.reset_index(drop=True)
+        piece = Piece(rows, self.rules)
+        successes = np.flatnonzero(piece.dim == "SUCCESS").tolist()
+        before = successes[0] if successes else len(rows)
+        burst = piece._last_burst(0, before, self.rule)
+        burst = None if burst is None else _point(rows, burst)
+        if self.success is None:
+            room = self.rule.threshold - 1 - len(self.head)
+            self.head += [_point(rows, j) for j in range(held, min(held + room, before))]
+            self.head_burst = burst or self.head_burst
+        self.tail_burst = burst or self.tail_burst
+        start = 0
+        if successes:
+            if self.success is None:
+                self.success = [*_point(rows, successes[0]), int(offset + successes[0] - held)]
+            self.last_success, start = _point(rows, successes[-1]), successes[-1] + 1
+            last = piece._last_burst(start, len(rows), self.rule)
+            self.tail_burst = None if last is None else _point(rows, last)
+        self.rows = rows.iloc[max(start, len(rows) - self.rule.threshold) :]
+
+    def told(self) -> dict:
         return {
-            "head": [self.at(j) for j in range(start, min(start + rule.threshold - 1, head_end))],
-            "head_burst": self.at(self._last_burst(start, head_end, rule)),
-            "success": None if first is None else [*self.at(first), first],
-            "last_success": self.at(last),
-            "tail": [self.at(j) for j in range(end - 1, max(tail_start, end - rule.threshold) - 1, -1)],
-            "tail_burst": self.at(self._last_burst(tail_start, end, rule)),
+            "head": self.head, "head_burst": self.head_burst, "success": self.success, "last_success": self.last_success,
+            "tail": [_point(self.rows, j) for j in range(len(self.rows) - 1, -1, -1)], "tail_burst": self.tail_burst,
         }
 
 
@@ -382,24 +446,29 @@ MATCH_SCHEMA = (
 )
 
 
-def _whole_task(batches: Iterable[pd.DataFrame]) -> pd.DataFrame | None:
-    frames = [b for b in batches if len(b)]
-    return pd.concat(frames, ignore_index=True) if frames else None
-
-
 def _matched_rows(candidates: DataFrame, rules: Sequence[Rule], partitions: int | None) -> DataFrame:
     """The rows of every alert, one row per alert and matched log line."""
     placed = sorted_pieces(candidates, KEYS, ORDER, partitions)
 
     def summarise(batches):
-        rows = _whole_task(batches)
-        if rows is None:
-            return
-        piece, chunk = Piece(rows, rules, edges_only=True), int(rows["chunk"].iloc[0])
-        yield pd.DataFrame(
-            [(chunk, *piece.keys[k], json.dumps(piece.summary(k))) for k in piece.edges],
-            columns=["chunk", *KEYS, "summary"],
-        )
+        first = now = chunk = None
+        offset = 0
+        for rows in batches:
+            if not len(rows):
+                continue
+            chunk = int(rows["chunk"].iat[0])
+            starts, ends, keys = _key_runs(rows)
+            for k in sorted({0, len(keys) - 1}):  # only these can continue in another piece
+                if now is None or now.key != keys[k]:
+                    now = (BurstSummary if rules[int(keys[k][0])].is_burst else CountSummary)(keys[k], rules)
+                    first = first or now
+                now.add(rows.iloc[starts[k] : ends[k]], offset + int(starts[k]))
+            offset += len(rows)
+        if now is not None:
+            yield pd.DataFrame(
+                [(chunk, *key.key, json.dumps(key.told())) for key in ([now] if now is first else [first, now])],
+                columns=["chunk", *KEYS, "summary"],
+            )
 
     # At most two rows per partition, each bounded by the thresholds: safe to bring to the driver.
     subjects = defaultdict(list)
@@ -421,55 +490,66 @@ def _matched_rows(candidates: DataFrame, rules: Sequence[Rule], partitions: int
     shared = candidates.sparkSession.sparkContext.broadcast((resume, spanning))
 
     def match(batches):
-        rows = _whole_task(batches)
-        if rows is None:
-            return
         resume, spanning = shared.value
-        piece, chunk = Piece(rows, rules), int(rows["chunk"].iloc[0])
-        index, end_us, end_line = [], [], []
-
-        def add(hit: np.ndarray, us, line) -> None:
-            index.append(hit)
-            end_us.append(us)
-            end_line.append(line)
-
-        for k in piece.edges:
-            for interval in spanning.get(piece.keys[k], ()):
-                hit, end = _rows_of(piece, k, interval), interval["success"] or interval["end"]
-                add(hit, np.full(len(hit), end[0]), np.full(len(hit), end[1]))
-        hit, fired = _local_rows(piece, list(piece.picked(resume.get(chunk, -1))))
-        add(hit, piece.us[fired], piece.line[fired])
-        taken = piece.rows.take(np.concatenate(index).astype(np.int64)).reset_index(drop=True)
-        taken["end_us"], taken["end_line"] = np.concatenate(end_us), np.concatenate(end_line)
-        yield taken[["rule_no", "upload_id", "subject", "end_us", "end_line", "us", "line_number",
-                     "dim", "ip_address", "username"]]
+        carried, offset = None, 0
+        for rows in batches:
+            if not len(rows):
+                continue
+            skip = resume.get(int(rows["chunk"].iat[0]), -1) + 1 - offset
+            offset += len(rows)
+            yield from _spanning_rows(rows, spanning)
+            rows = rows.iloc[skip:] if skip > 0 else rows
+            if carried is not None and len(carried):
+                rows = pd.concat([carried, rows], ignore_index=True)
+            if len(rows):
+                piece = Piece(rows, rules)
+                picks = list(piece.picked(-1))
+                if picks:
+                    hit, fired = _local_rows(piece, picks)
+                    yield _taken(rows, hit, piece.us[fired], piece.line[fired])
+                carried = rows.iloc[piece.open_rows(picks)]
 
     return placed.mapInPandas(match, MATCH_SCHEMA)
 
 
+def _taken(rows: pd.DataFrame, hit: np.ndarray, end_us, end_line) -> pd.DataFrame:
+    taken = rows.take(hit.astype(np.int64)).reset_index(drop=True)
+    taken["end_us"], taken["end_line"] = end_us, end_line
+    return taken[["rule_no", "upload_id", "subject", "end_us", "end_line", "us", "line_number", "dim", "ip_address", "username"]]
+
+
+def _spanning_rows(rows: pd.DataFrame, spanning: dict[tuple, list[dict]]) -> Iterator[pd.DataFrame]:
+    """The batch's rows of alerts that reach over several pieces."""
+    for start, end, key in zip(*_key_runs(rows)):
+        intervals = spanning.get(key)
+        if intervals:
+            us, line = (rows[c].to_numpy(np.int64)[start:end] for c in ORDER)
+            for interval in intervals:
+                hit, close = _rows_of(us, line, interval), interval["success"] or interval["end"]
+                if len(hit):
+                    yield _taken(rows, int(start) + hit, close[0], close[1])
+
+
 def _inside_first(interval: dict, first: dict) -> bool:
     """Alerts that end in a subject's first piece are picked by that piece itself."""
     own = first.get("first") or first.get("success")
     return own is not None and own[:2] == (interval["success"] or interval["end"])
 
 
-def _order_position(piece: Piece, k: int, point: Sequence[int], after: bool) -> int:
-    """Where ``point`` = (us, line) falls among the rows of key ``k``."""
-    start, end = int(piece.starts[k]), int(piece.ends[k])
-    lo = start + int(np.searchsorted(piece.us[start:end], point[0], "left"))
-    hi = start + int(np.searchsorted(piece.us[start:end], point[0], "right"))
-    return lo + int(np.searchsorted(piece.line[lo:hi], point[1], "right" if after else "left"))
+def _order_position(us: np.ndarray, line: np.ndarray, point: Sequence[int], after: bool) -> int:
+    """Where ``point`` = (us, line) falls among the rows of a key."""
+    lo, hi = (int(np.searchsorted(us, point[0], side)) for side in ("left", "right"))
+    return lo + int(np.searchsorted(line[lo:hi], point[1], "right" if after else "left"))
 
 
-def _rows_of(piece: Piece, k: int, interval: dict) -> np.ndarray:
-    start, end = int(piece.starts[k]), int(piece.ends[k])
-    first = start + int(np.searchsorted(piece.us[start:end], interval["floor"], "left"))
+def _rows_of(us: np.ndarray, line: np.ndarray, interval: dict) -> np.ndarray:
+    first = int(np.searchsorted(us, interval["floor"], "left"))
     if interval["lower"] is not None:
-        first = max(first, _order_position(piece, k, interval["lower"], after=True))
-    rows = np.arange(first, max(first, _order_position(piece, k, interval["end"], after=True)))
+        first = max(first, _order_position(us, line, interval["lower"], after=True))
+    rows = np.arange(first, max(first, _order_position(us, line, interval["end"], after=True)))
     if interval["success"] is not None:
-        lo = _order_position(piece, k, interval["success"], after=False)
-        rows = np.append(rows, np.arange(lo, _order_position(piece, k, interval["success"], after=True)))
+        lo = _order_position(us, line, interval["success"], after=False)
+        rows = np.append(rows, np.arange(lo, _order_position(us, line, interval["success"], after=True)))
     return rows
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -164,8 +165,18 @@ RULES = [
 ]
 
 
+@pytest.fixture(params=[50, 10_000])
+def batch_rows(spark, request):
+    """Rows a task sees at once: with 50, subjects and windows go over many batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(request.param))
+    yield request.param
+    spark.conf.set(name, before)
+
+
 @pytest.mark.parametrize("seed", range(6))
-def test_matches_model_with_hot_subject(spark, seed):
+def test_matches_model_with_hot_subject(spark, seed, batch_rows):
     """One source holds most rows, so its rows spread over many pieces."""
     rng = random.Random(seed)
     dense = rng.choice([1, 4, 30])
@@ -195,3 +206,18 @@ def test_matches_model_with_hot_subject(spark, seed):
             expected = sorted(
                 (u, s if by_user else "", n, tuple(sorted(m))) for u, s, n, m in model(records, rule))
             assert actual == expected, (rule, partitions)
+
+
+def test_what_a_task_keeps_between_batches_does_not_grow():
+    import pandas as pd
+
+    for rule, most in ((D.brute_force_login(5, 60), 4), (D.invalid_user_enumeration(3, 40), 41), (D.credential_stuffing(3, 25, 30), 57)):
+        for n in (200, 20_000):
+            rows = pd.DataFrame({"rule_no": 0, "upload_id": "u", "subject": "s", "us": np.arange(n) * D.MICROS, "line_number": np.arange(n), "dim": "FAILED"})
+            piece = D.Piece(rows, [rule])
+            kept = piece.open_rows(list(piece.picked(-1)))
+            assert kept.stop == n and kept.stop - kept.start <= most
+            summary = (D.BurstSummary if rule.is_burst else D.CountSummary)((0, "u", "s"), [rule])
+            for at in range(0, n, 100):
+                summary.add(rows.iloc[at : at + 100], at)
+            assert len(summary.rows) <= rule.threshold and len(summary.head) < rule.threshold
