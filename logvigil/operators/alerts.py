@@ -9,7 +9,7 @@ from logvigil.functions.labels import risk_score
 from logvigil.functions.network import optional_ip
 from logvigil.functions.text import lookup, null_if_empty, strip
 from logvigil.functions.timefn import parse_event_ts
-from logvigil.operators.pieces import running_number
+from logvigil.operators.pieces import dense_number, running_number
 
 
 def describe_alerts(detected: DataFrame) -> DataFrame:
@@ -45,9 +45,10 @@ def build_alert_rows(described: DataFrame, created_at: Column) -> DataFrame:
 
 
 def assign_ids(rows: DataFrame, order: list[str], last_id: int | Column = 0) -> DataFrame:
-    """Dense ids after ``last_id`` in the given order."""
-    start = last_id if isinstance(last_id, Column) else F.lit(last_id)
-    return running_number(rows, [], order, "id").withColumn("id", F.col("id") + start)
+    """Dense ids after ``last_id`` in the given order, which has to be unique."""
+    if isinstance(last_id, Column):
+        return running_number(rows, [], order, "id").withColumn("id", F.col("id") + last_id)
+    return dense_number(rows, order, "id", last_id + 1)
 
 
 def rule_catalog(spark: SparkSession) -> DataFrame:

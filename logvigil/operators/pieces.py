@@ -46,6 +46,22 @@ def running_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], nam
     )
 
 
+def dense_number(df: DataFrame, order: Sequence[str], name: str, first: int = 1, partitions: int | None = None) -> DataFrame:
+    """Numbers from ``first`` over the whole table in a unique order, with one shuffle.
+
+    A row's number is its place in its sorted piece and the rows of the pieces before. The rows of each
+    piece, one figure a partition, are counted, summed and broadcast.
+    """
+    pieces = sorted_pieces(df, [], order, partitions)
+    spark, start, offsets = df.sparkSession, first, []
+    for chunk, rows in sorted(map(tuple, pieces.groupBy("chunk").agg(F.count(F.lit(1))).collect())):
+        offsets.append((chunk, start))
+        start += rows
+    known = F.broadcast(spark.createDataFrame(offsets, "chunk int, _offset long"))  # a row for each partition
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within the partition
+    return pieces.withColumn("_place", place).join(known, "chunk").withColumn(name, F.col("_place") + F.col("_offset")).drop("chunk", "_place", "_offset")
+
+
 def one_row(*frames: DataFrame) -> DataFrame:
     """Put one-row aggregates of different tables side by side without a join."""
     combined = frames[0]

@@ -577,7 +577,7 @@ def split_records(spark: SparkSession, *paths: str, name: Name = last_element, s
             seen.append(flags(found.join(whole, "path"), F.lit("json")))
             parts.append(found.select(_PART))
             json = listed.filter(F.col("ext").isin("json", "jsonl") & (F.coalesce(F.lit(max_file_bytes), "length") >= F.col("length")))
-            others = [_escaped(r[0]) for r in json.join(whole, "path", "left_anti").select(_decoded(F.col("path"))).collect()]
+            others = [escaped(r[0]) for r in json.join(whole, "path", "left_anti").select(_decoded(F.col("path"))).collect()]
             if others:
                 rows = _held(read("\n", lambda ext: F.lit(True), others))
                 found = reliable_checkpoint(_line_splits(rows))
@@ -610,5 +610,6 @@ def split_lines(spark: SparkSession, *paths: str, name: Name = last_element, spl
     return found.select("path", name(_decoded(F.col("path"))).alias("name"), "line_number", "raw")
 
 
-def _escaped(path: str) -> str:
+def escaped(path: str) -> str:
+    """A path as a pattern that matches only itself."""
     return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)

@@ -156,3 +156,44 @@ def test_upload_stream(spark, tmp_path, runs):
     assert [(a["rule"], a["event_count"]) for a in alerts] == [("brute_force_login", 5)]
     assert spark.read.parquet(str(tmp_path / "out" / "logs")).count() == 6
     assert spark.read.parquet(str(tmp_path / "out" / "rejected_files")).first()["code"] == "INVALID_FILE_TYPE"
+
+
+@pytest.mark.parametrize("by_split", [False, True])
+def test_stored_ids_connect_ingest_with_the_dashboard(spark, tmp_path, by_split):
+    from logvigil.operators import dashboard, evidence
+
+    burst = lambda n, ip: "".join(f"Jun 14 02:11:{10 + i} h sshd[{i}]: Failed password for root from {ip} port 22 ssh2\n" for i in range(n))
+    files = {"a.log": burst(6, "203.0.113.4"), "b.csv": CSV, "c.jsonl": JSONL, "d.exe": "x", "big.log": burst(40, "203.0.113.9")}
+    inbox, out = tmp_path / "inbox", str(tmp_path / "out")
+    inbox.mkdir()
+    stream = lambda: uploads.upload_stream(spark, str(inbox), out, str(tmp_path / "state"), 2026, max_file_bytes=2000, by_split=by_split).awaitTermination()
+    for name in ("a.log", "b.csv", "d.exe"):
+        (inbox / name).write_text(files[name])
+    stream()
+    for name in ("c.jsonl", "big.log"):
+        (inbox / name).write_text(files[name])
+    (inbox / "e.log").write_text(burst(11, "198.51.100.7"))
+    stream()
+    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    assert {(r["name"], r["code"]) for r in read("rejected_files").collect()} == {("d.exe", "INVALID_FILE_TYPE"), ("big.log", "FILE_TOO_LARGE")}
+
+    def stored():
+        return [sorted((r["id"], r["upload_id"], r["line_number"], r["raw_message"]) for r in read("logs").collect()),
+                sorted((r["id"], r["upload_id"], r["rule"], tuple(r["matched_line_numbers"])) for r in read("alerts").collect())]
+
+    logs, alerts = stored()
+    assert [r[0] for r in logs] == list(range(1, len(logs) + 1)) and [r[0] for r in alerts] == [1, 2, 3]
+    # A batch that is run again takes the same ids.
+    again = spark.read.format("binaryFile").load([str(inbox / n) for n in ("c.jsonl", "big.log", "e.log")])
+    uploads.process_files(again.drop("content") if by_split else again, 1, out, 2026, max_file_bytes=2000)
+    assert {r[0] for r in stored()[0]} == {r[0] for r in logs} and stored()[1] == alerts
+    assert sorted(r[2:] for r in stored()[0]) == sorted(r[2:] for r in logs)
+    events = evidence.evidence_join(read("logs"), read("alerts"))
+    view = evidence.alert_view(read("alerts"), read("logs"))
+    shown = {r["backend_id"]: set(r["evidence_ids"]) for r in view.collect()}
+    assert [len(shown[i]) for i in (1, 2, 3)] == [5, 5, 5]
+    listed = {r["id"] for r in events.filter("source_alert_id IS NOT NULL").collect()}
+    assert listed == set().union(*shown.values())
+    incidents = spark.createDataFrame([], "status string")
+    stats = dashboard.dashboard_stats(events, view, incidents).first()
+    assert (stats["events_ingested"], stats["active_alerts"], stats["new_alerts"]) == (len(logs), 3, 3)
