@@ -3,17 +3,20 @@
 1. Documents are tokenized once; ids go to the shared folder as 16-bit integers.
 2. Document frequencies of the terms (token ids) are summed over all documents: one figure per entry of
    the vocabulary, which bounds what the driver holds and sends to tasks.
-3. Documents are dealt by a hash of their row over shards of about ``shard_tokens`` tokens. A shard is one
-   inverted index with BM25 weights of the whole corpus's frequencies; it is packed by itself.
+3. Documents are sorted by two min-hashes of their highest-weighted terms, so that lexical neighbours lie
+   close together however many shards there are, and range-partitioned. A task cuts what it reads into shards
+   of about ``shard_tokens`` tokens, in order. A shard is one inverted index with BM25 weights of the whole
+   corpus's frequencies; it is packed by itself, and is all that a task holds.
 4. Windows of a document that it fills alone are cut first. Then the rest of the next unused document is
    the seed; its highest-weighted terms are looked up, and the best unused documents fill the window. The
    last of them is cut where the window is full, and what is left of it is the next seed.
 
 So every window of a shard is full but its last. A document longer than a shard is a shard's content like
-any other; its windows are slices, not copies. Shards do not depend on sources, so no source is hot.
+any other; its windows are slices, not copies. Copies and repeated rows have one key and fill as many shards
+as they need, so no group of them is one task's or held whole.
 
 Null texts are empty; an empty text has the end id only. Documents that share no term are packed in id
-order. Rows that repeat are packed each. An empty table gives an empty result.
+order. A null id is kept and sorted first. Rows that repeat are packed each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,17 +28,18 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from logvigil.llm.common import partitions, texts, written
-from logvigil.llm.vocab import Encoder
+from logvigil.llm.common import texts, written
+from logvigil.llm.vocab import ByteEncoder, Encoder, encoder_for
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str) -> Encoder | ByteEncoder:
+    return encoder_for(path)
 
 
 def tokenized(docs: DataFrame, path: str, end: int, id: str = "doc_id", text: str = "text", batch: int = 256) -> DataFrame:
@@ -161,7 +165,7 @@ def packed(docs: DataFrame, path: str, end: int = 0, window: int = 1024, id: str
            shard_tokens: int = 1_500_000, terms: int = 24) -> DataFrame:
     """Pieces of all documents: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    ``sequence_id`` is the shard's number times 2**32 plus the window's number in the shard.
+    ``sequence_id`` is the task's number times 2**32 plus the window's number in the task.
     """
     tokens = written(tokenized(docs, path, end, id, text), "tokens")
     rows = tokens.filter("ids IS NOT NULL")
@@ -170,17 +174,55 @@ def packed(docs: DataFrame, path: str, end: int = 0, window: int = 1024, id: str
     idf = np.log1p((count - df + 0.5) / (df + 0.5)).clip(1e-6).astype(np.float32)
     mean, shards = max(1.0, total / max(1, count)), max(1, -(-total // shard_tokens))
 
-    def run(shard: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "n_tokens"], kind="stable", na_position="first")
-        ids = [np.frombuffer(x, "<u2") for x in group["ids"]]
-        names, base, out = group["doc_id"].tolist(), int(shard[0]) << 32, []
-        for i, at, n, sequence, offset in pack(ids, idf, mean, window, terms):
-            crc = zlib.crc32(ids[i][at : at + n].astype("<u4"))
-            out.append((names[i], at, n, crc, len(ids[i]), base + sequence, offset))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
-
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).alias("shard"), "doc_id", "n_tokens", "ids")
-    return dealt.groupBy("shard").applyInPandas(run, PIECES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def shard() -> pa.RecordBatch:
+            nonlocal base
+            ids, out, last = [np.frombuffer(x, "<u2") for _, x in held], [], -1
+            for i, at, n, sequence, offset in pack(ids, idf, mean, window, terms):
+                out.append((held[i][0], at, n, zlib.crc32(ids[i][at : at + n].astype("<u4")), len(ids[i]), base + sequence, offset))
+                last = max(last, sequence)
+            base += last + 1
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=[c.split()[0] for c in PIECES.split(", ")])
+
+        for rows in batches:
+            for doc, x in zip(rows.column("doc_id").to_pylist(), rows.column("ids").to_pylist()):
+                held.append((doc, x))
+                size += len(x) // 2
+                if size >= shard_tokens:
+                    yield shard()
+                    held, size = [], 0
+        if held:
+            yield shard()
+
+    keys = ["near", "next", "doc_id", "n_tokens"]
+    dealt = lexical_keys(rows, idf, mean).repartitionByRange(shards, *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+    return dealt.mapInArrow(run, PIECES)
+
+
+def lexical_keys(rows: DataFrame, idf: np.ndarray, mean: float, top: int = 8) -> DataFrame:
+    """``rows`` with the two smallest hashes (``near``, ``next``) of the ``top`` terms of highest BM25 weight."""
+    mixed = np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(31)
+    mixed = ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(1)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            pairs = []
+            for x in part.column("ids").to_pylist():
+                _, term, count = _slices([np.frombuffer(x, "<u2")])
+                weight = idf[term] * count * 2.2 / (count + 1.2 * (0.25 + 0.75 * (len(x) // 2) / mean))
+                if len(term) > top:
+                    term = term[np.argpartition(-weight, top)[:top]]
+                best = np.sort(mixed[term])
+                pairs.append((int(best[0]), int(best[1]) if len(best) > 1 else -1))
+            if pairs:
+                near, following = zip(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(following), *part.columns], names=["near", "next", *part.schema.names])
+
+    chosen = rows.select("doc_id", "n_tokens", "ids")
+    return chosen.mapInArrow(run, "near long, next long, doc_id long, n_tokens long, ids binary")
 
 
 def concatenated(pieces: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from logvigil.llm import common, decontaminate, exact_dedup, licences, line_dedup, near_copies, packing, simhash, substring, token_counts, token_files, toxicity
-from logvigil.llm.vocab import Encoder
+from logvigil.llm.vocab import ByteEncoder, Encoder, encoder_for
 
 FOLDER = "/root/testdata/sf0.001"
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +55,58 @@ def test_encoder_equals_library(path, rows):
         assert np.frombuffer(ids, "<u2").tolist() == model.encode(text, add_special_tokens=False).ids, text[:60]
 
 
+def test_byte_encoder_equals_library(rows):
+    model, mine = Tokenizer.from_file(BYTES), encoder_for(BYTES)
+    assert isinstance(mine, ByteEncoder) and isinstance(encoder_for(WORDS), Encoder)
+    rnd = random.Random(1)
+    parts = [" ", "  ", "\n", "\t", "\r", "a", "B", "é", "1", "\u0663", "'s", "'", "!", "\u2003", "\xa0", "\u200b", "日", "😀", "e\u0301", "_", "\x1c", "\x85",
+             "<|endoftext|>", "\u00b2", "\u01c5", "\ufeff"]
+    texts = [t for _, t in rows] + ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(5000)]
+    for text, ids in zip(texts, mine.encode(texts)):
+        assert np.frombuffer(ids, "<u2").tolist() == model.encode(text, add_special_tokens=False).ids, text[:60]
+
+
+def test_packing_keeps_neighbours_together(spark):
+    """The best BM25 neighbour of a document in the whole corpus: how often is it in the same one of many shards?"""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tokens = packing.tokenized(docs, BYTES, 0).cache()
+    held = tokens.filter("ids IS NOT NULL")
+    df = packing.frequencies(tokens)
+    n, total = held.count(), held.agg(F.sum("n_tokens")).first()[0]
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)).clip(1e-6).astype(np.float32)
+    order = packing.lexical_keys(held, idf, total / n).orderBy("near", "next", "doc_id").select("doc_id", "ids").collect()
+    index = packing.Index([np.frombuffer(r.ids, "<u2") for r in order], idf, total / n)
+    best = []
+    for i in range(0, n, 5):
+        scores = index.scores(i, 24)
+        scores[i] = -1
+        best.append((i, int(np.argmax(scores))))
+    shares = []
+    for shards in (4, 16, 64):
+        size = n / shards
+        shares.append(sum(int(a // size) == int(b // size) for a, b in best) / len(best))
+    print("share of best neighbours in the same of 4, 16, 64 shards:", shares, "by chance:", [1 / 4, 1 / 16, 1 / 64])
+    assert all(share > least for share, least in zip(shares, (0.4, 0.25, 0.18)))
+
+
+def test_packing_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a b c")] * 3 + [(1, "same text " * 50)] * 40 + [(2, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("near", F.lit("mine")).withColumn("ids", F.lit(1))
+    pieces = packing.packed(docs, BYTES, shard_tokens=1000).collect()
+    assert sum(p.start == 0 for p in pieces) == len(rows)
+    by_sequence = collections.defaultdict(list)
+    for p in pieces:
+        by_sequence[p.sequence_id].append((p.offset, p.length))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert collections.Counter(p.doc_id for p in pieces if p.start == 0) == collections.Counter(d for d, _ in rows)
+    assert packing.packed(empty(spark), BYTES).count() == 0
+
+
 def test_packing_covers_every_id_once(spark, docs, rows):
     model = Tokenizer.from_file(BYTES)
     ids = {d: [*model.encode(t, add_special_tokens=False).ids, 0] for d, t in rows}
