@@ -3,8 +3,9 @@
 1. Documents are tokenized once; ids go to the shared folder as 16-bit integers.
 2. Document frequencies of the terms (token ids) are summed over all documents: one figure per entry of
    the vocabulary, which bounds what the driver holds and sends to tasks.
-3. Documents are sorted by two min-hashes of their highest-weighted terms, so that lexical neighbours lie
-   close together however many shards there are, and range-partitioned. A task cuts what it reads into shards
+3. Documents are sorted by two min-hashes of their rarest terms, so that lexical neighbours lie close
+   together however many shards there are, and range-partitioned. A byte-pair vocabulary numbers its merges
+   by falling frequency, so the terms of the highest ids stand for the rarest and are known at once. A task cuts what it reads into shards
    of about ``shard_tokens`` tokens, in order. A shard is one inverted index with BM25 weights of the whole
    corpus's frequencies; it is packed by itself, and is all that a task holds.
 4. Windows of a document that it fills alone are cut first. Then the rest of the next unused document is
@@ -42,8 +43,14 @@ def encoder(path: str) -> Encoder | ByteEncoder:
     return encoder_for(path)
 
 
-def tokenized(docs: DataFrame, path: str, end: int, id: str = "doc_id", text: str = "text", batch: int = 256) -> DataFrame:
-    """``doc_id, n_tokens, ids`` (16-bit little-endian, with the end id), and per task one row of document frequencies in ``df``."""
+_HASH = np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_HASH = (((_HASH ^ (_HASH >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(1)).astype(np.int64)
+_TOKENS = ["doc_id", "n_tokens", "ids", "near", "next", "df"]
+
+
+def tokenized(docs: DataFrame, path: str, end: int, id: str = "doc_id", text: str = "text", batch: int = 256, rarest: int = 6) -> DataFrame:
+    """``doc_id, n_tokens, ids`` (16-bit little-endian, with the end id), the two smallest hashes of the ``rarest``
+    terms in ``near`` and ``next``, and per task one row of document frequencies in ``df``."""
     closing = np.array([end], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,19 +60,22 @@ def tokenized(docs: DataFrame, path: str, end: int, id: str = "doc_id", text: st
             for at in range(0, rows.num_rows, batch):
                 part = rows.slice(at, batch)
                 ids = [x + closing for x in model.encode(part.column(1).to_pylist())]
-                for x in ids:
+                near = np.full((len(ids), 2), -1, np.int64)
+                for i, x in enumerate(ids):
                     terms = np.sort(np.frombuffer(x, "<u2"), kind="stable")
-                    seen[terms[np.concatenate(([True], terms[1:] != terms[:-1]))]] += 1
+                    terms = terms[np.concatenate(([True], terms[1:] != terms[:-1]))]
+                    seen[terms] += 1
+                    least = np.sort(_HASH[terms[-rarest:]])[:2]
+                    near[i, : len(least)] = least
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.list_(pa.int64()))],
-                    names=["doc_id", "n_tokens", "ids", "df"])
+                    [part.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
+                     pa.array(near[:, 0]), pa.array(near[:, 1]), pa.nulls(len(ids), pa.list_(pa.int64()))], names=_TOKENS)
         if seen.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.tolist()], pa.list_(pa.int64()))],
-                names=["doc_id", "n_tokens", "ids", "df"])
+            nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array([seen.tolist()], pa.list_(pa.int64()))], names=_TOKENS)
 
     source = texts(docs, id, text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, ids binary, df array<long>")
+    return source.mapInArrow(run, "doc_id long, n_tokens long, ids binary, near long, next long, df array<long>")
 
 
 def frequencies(tokens: DataFrame) -> np.ndarray:
@@ -114,13 +124,15 @@ class Index:
         return np.bincount(docs, np.concatenate([self.weight[s] for s in spans]), self.n)
 
 
-def pack(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int, terms: int) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of every piece of a shard."""
+def pack(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int, terms: int, begin: list[int] | None = None) -> list[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset) of every piece of a shard; ``begin``: where each document starts.
+
+    Only the last sequence may be short, and its pieces are the ends of their documents."""
     out, sequence = [], 0
-    start = [0] * len(ids)
+    start = list(begin or [0] * len(ids))
     size = [len(x) for x in ids]
     for i, n in enumerate(size):
-        for at in range(0, n - window + 1, window):
+        for at in range(start[i], n - window + 1, window):
             out.append((i, at, window, sequence, 0))
             sequence += 1
             start[i] = at + window
@@ -177,54 +189,38 @@ def packed(docs: DataFrame, path: str, end: int = 0, window: int = 1024, id: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-        def shard() -> pa.RecordBatch:
-            nonlocal base
-            ids, out, last = [np.frombuffer(x, "<u2") for _, x in held], [], -1
-            for i, at, n, sequence, offset in pack(ids, idf, mean, window, terms):
-                out.append((held[i][0], at, n, zlib.crc32(ids[i][at : at + n].astype("<u4")), len(ids[i]), base + sequence, offset))
-                last = max(last, sequence)
-            base += last + 1
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=[c.split()[0] for c in PIECES.split(", ")])
+        def shard(last: bool) -> Iterator[pa.RecordBatch]:
+            """Pack what is held; a short last window is left to the task's next shard."""
+            nonlocal base, held, size
+            ids = [np.frombuffer(x, "<u2") for _, x, _ in held]
+            pieces = pack(ids, idf, mean, window, terms, [start for _, _, start in held])
+            final = max(p[3] for p in pieces)
+            short = [p for p in pieces if p[3] == final]
+            if last or sum(p[2] for p in short) == window:
+                short = []
+            else:
+                pieces = [p for p in pieces if p[3] != final]
+            out = [(held[i][0], at, n, zlib.crc32(ids[i][at : at + n].astype("<u4")), len(ids[i]), base + sequence, offset)
+                   for i, at, n, sequence, offset in pieces]
+            base += final + (not short)
+            held, size = [(held[i][0], held[i][1], at) for i, at, _, _, _ in short], sum(p[2] for p in short)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=[c.split()[0] for c in PIECES.split(", ")])
 
         for rows in batches:
             for doc, x in zip(rows.column("doc_id").to_pylist(), rows.column("ids").to_pylist()):
-                held.append((doc, x))
+                held.append((doc, x, 0))
                 size += len(x) // 2
                 if size >= shard_tokens:
-                    yield shard()
-                    held, size = [], 0
+                    yield from shard(False)
         if held:
-            yield shard()
+            yield from shard(True)
 
     keys = ["near", "next", "doc_id", "n_tokens"]
-    dealt = lexical_keys(rows, idf, mean).repartitionByRange(shards, *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+    dealt = rows.repartitionByRange(shards, *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
     return dealt.mapInArrow(run, PIECES)
 
 
-def lexical_keys(rows: DataFrame, idf: np.ndarray, mean: float, top: int = 8) -> DataFrame:
-    """``rows`` with the two smallest hashes (``near``, ``next``) of the ``top`` terms of highest BM25 weight."""
-    mixed = np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(31)
-    mixed = ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(1)).astype(np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            pairs = []
-            for x in part.column("ids").to_pylist():
-                _, term, count = _slices([np.frombuffer(x, "<u2")])
-                weight = idf[term] * count * 2.2 / (count + 1.2 * (0.25 + 0.75 * (len(x) // 2) / mean))
-                if len(term) > top:
-                    term = term[np.argpartition(-weight, top)[:top]]
-                best = np.sort(mixed[term])
-                pairs.append((int(best[0]), int(best[1]) if len(best) > 1 else -1))
-            if pairs:
-                near, following = zip(*pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(following), *part.columns], names=["near", "next", *part.schema.names])
-
-    chosen = rows.select("doc_id", "n_tokens", "ids")
-    return chosen.mapInArrow(run, "near long, next long, doc_id long, n_tokens long, ids binary")
-
-
 def concatenated(pieces: DataFrame, tokens: DataFrame) -> DataFrame:
     """Sequences as arrays of ids: the pieces' slices in order of their offset."""
     def cut(a: pd.Series, start: pd.Series, length: pd.Series) -> pd.Series:

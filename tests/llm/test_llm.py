@@ -74,7 +74,7 @@ def test_packing_keeps_neighbours_together(spark):
     df = packing.frequencies(tokens)
     n, total = held.count(), held.agg(F.sum("n_tokens")).first()[0]
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).clip(1e-6).astype(np.float32)
-    order = packing.lexical_keys(held, idf, total / n).orderBy("near", "next", "doc_id").select("doc_id", "ids").collect()
+    order = held.orderBy("near", "next", "doc_id").select("doc_id", "ids").collect()
     index = packing.Index([np.frombuffer(r.ids, "<u2") for r in order], idf, total / n)
     best = []
     for i in range(0, n, 5):
