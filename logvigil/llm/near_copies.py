@@ -293,9 +293,10 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", k: i
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents with one of each group: the smallest id stays, with the columns it came with.
 
-    Rows that repeat an id are one document. Rows without an id stay: nothing names them.
+    Rows that repeat an id and its text are one document; of rows that repeat an id with other texts all stay where
+    the id does. Rows without an id stay: nothing names them.
     """
     groups = similar_groups(docs, id, text, **options)
     stay = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    named = docs.join(stay, F.col(id) == F.col("_stay"), "left_semi").dropDuplicates([id])
-    return named.union(docs.filter(F.col(id).isNull()))
+    named = docs.join(stay, F.col(id) == F.col("_stay"), "left_semi").withColumn("_text", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    return named.dropDuplicates([id, "_text"]).drop("_text").union(docs.filter(F.col(id).isNull()))

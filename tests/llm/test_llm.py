@@ -476,6 +476,26 @@ def test_exact_groups_equal_brute_force(spark, docs, rows):
 QUESTION = "If Ann Miller buys 12 kg of apples for 30 dollars and gives half of them to Bob Stone then how many does Ann Miller keep for the winter?"
 
 
+def test_exact_groups_with_repeated_rows_and_null_ids(spark):
+    rows = [(1, "Same"), (1, "Same"), (1, "same"), (0, "SAME"), (1, "other"), (None, "lost"), (None, "LOST"), (None, "same"), (7, None), (8, ""), (8, "")] + [(5, "x")] * 9000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("mine")).withColumn("check", F.lit(1)).withColumn("named", F.lit(2))
+    out = exact_dedup.exact_groups(docs).collect()
+    assert len(out) == len(rows)
+    by_text = collections.defaultdict(list)
+    for doc_id, text in rows:
+        by_text[hashlib.sha256((text or "").lower().encode()).hexdigest()].append(doc_id)
+    kept = collections.Counter(r.text_sha256 for r in out if r.kept)
+    for digest, ids in by_text.items():
+        best = max((i for i in ids if i is not None), default=None)
+        mine = [r for r in out if r.text_sha256 == digest]
+        assert {(r.keep_id, r.group_size) for r in mine} == {(best, len(ids))} and sorted(map(str, (r.doc_id for r in mine))) == sorted(map(str, ids))
+        assert kept[digest] == (best is not None)
+    left = exact_dedup.drop_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), (r.text or "").lower()) for r in left.collect()) == [("1", "other"), ("1", "same"), ("5", "x"), ("8", ""), ("None", "lost")]
+    assert exact_dedup.drop_copies(docs.limit(0)).count() == 0 and exact_dedup.exact_groups(docs.limit(0)).count() == 0
+
+
 def test_decontamination_templates(spark):
     items = spark.createDataFrame([(1, QUESTION), (2, "Too short"), (3, None)], "item_id long, text string")
     other = QUESTION.replace("Ann", "Eve").replace("Miller", "Jones").replace("12", "7").replace("30", "9").replace("Bob Stone", "Carl Reed")
