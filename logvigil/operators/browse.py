@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -69,6 +69,42 @@ def paginate(df: DataFrame, order: Sequence[Column | str], page: int = 1, page_s
     )
 
 
+Key = tuple[str, bool]  # a column, and whether it descends
+
+
+def page_after(df: DataFrame, order: Sequence[Key], last: Mapping[str, object] | None = None, page_size: int = 10) -> DataFrame:
+    """The rows that follow the row ``last`` of the page before (none: the first page), in a unique order.
+
+    A seek instead of an offset: what comes before is filtered out where it is read, and only
+    ``page_size`` rows of each task are sorted out and sent on, however deep the page. Nulls sort as
+    Spark has them, lowest: first where a column ascends, last where it descends.
+    """
+    if last is not None:
+        beyond, same = F.lit(False), F.lit(True)
+        for name, descends in order:
+            column, value = F.col(name), last[name]
+            if descends:
+                further = F.lit(False) if value is None else (column < F.lit(value)) | column.isNull()
+            else:
+                further = column.isNotNull() if value is None else column > F.lit(value)
+            beyond = beyond | (same & further)
+            same = same & column.eqNullSafe(F.lit(value))
+        df = df.filter(F.coalesce(beyond, F.lit(False)))
+    return df.orderBy(*[F.desc(c) if descends else F.asc(c) for c, descends in order]).limit(page_size)
+
+
+def pages(df: DataFrame, order: Sequence[Key], page_size: int = 10) -> Iterator[DataFrame]:
+    """Page by page: each one starts behind the last row of the one before, the only row that is fetched."""
+    page = page_after(df, order, None, page_size)
+    while True:
+        yield page
+        down = [F.asc(c) if descends else F.desc(c) for c, descends in order]
+        last = page.orderBy(*down).select(*[c for c, _ in order]).first()
+        if last is None:
+            return
+        page = page_after(df, order, last.asDict(), page_size)
+
+
 def incident_history(incidents: DataFrame) -> DataFrame:
     """Finished incidents, last finished first."""
     return incidents.filter(L.is_terminal_incident(F.col("status"))).orderBy(

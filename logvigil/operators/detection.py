@@ -23,6 +23,7 @@ import json
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logvigil.functions import fixed_values as V
 from logvigil.functions.text import lookup
 from logvigil.functions.timefn import micros_to_z, parse_detector_ts
+from logvigil.operators.evidence import line_runs
 from logvigil.operators.pieces import sorted_pieces
-from logvigil.session import ship_with_tasks
+from logvigil.session import reliable_checkpoint, ship_with_tasks
 
 MICROS = 1_000_000
 
@@ -122,6 +124,27 @@ def run_detection(logs: DataFrame, rules: Sequence[Rule | CustomRule] | None = N
     return combined
 
 
+class Detected(NamedTuple):
+    """Alerts without their lines, and the lines as runs: a table of its own (see ``evidence.line_runs``)."""
+
+    alerts: DataFrame
+    runs: DataFrame
+
+
+ALERT_KEY = ["rule", "upload_id", "subject", "end_us", "end_line"]
+
+
+def detect(logs: DataFrame, rules: Sequence[Rule] | None = None, partitions: int | None = None) -> Detected:
+    """``run_detection`` for alerts of any number of lines: no array of an alert's lines is built.
+
+    Both tables are keyed by ``ALERT_KEY``: the rule, its subject in the upload, and the row that ends the alert.
+    """
+    specs = list(DEFAULT_RULES if rules is None else rules)
+    matched = reliable_checkpoint(_matched_rows(_candidates(logs, specs), specs, partitions))
+    named = matched.withColumn("rule", lookup(F.col("rule_no"), {i: r.name for i, r in enumerate(specs)}))
+    return Detected(_alerts(matched, specs, lists=False), line_runs(named, ALERT_KEY))
+
+
 # ---- rows wanted by the rules ------------------------------------------------------------
 
 KEYS = ["rule_no", "upload_id", "subject"]
@@ -578,16 +601,18 @@ def _local_rows(piece: Piece, picks: list[tuple[int, int]]) -> tuple[np.ndarray,
 
 # ---- alerts -------------------------------------------------------------------------------
 
-def _alerts(matched: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def _alerts(matched: DataFrame, rules: Sequence[Rule], lists: bool = True) -> DataFrame:
     """One alert per group of matched rows. A group is exactly what the alert has to list."""
     at = F.struct("us", "line_number")
+    lines = F.transform(F.array_sort(F.collect_list(at)), lambda e: e["line_number"]).alias("matched_line_numbers")
+    rest = ["matched_line_numbers"] if lists else ["subject", "end_us", "end_line"]
     grouped = matched.groupBy("rule_no", "upload_id", "subject", "end_us", "end_line").agg(
         F.count(F.lit(1)).alias("rows"),
         F.size(F.collect_set("dim")).cast("bigint").alias("values"),
         F.min("us").alias("first_us"), F.max("us").alias("last_us"),
         F.min_by("username", at).alias("first_user"), F.max_by("username", at).alias("last_user"),
         F.min_by("ip_address", at).alias("first_ip"), F.max_by("ip_address", at).alias("last_ip"),
-        F.transform(F.array_sort(F.collect_list(at)), lambda e: e["line_number"]).alias("matched_line_numbers"),
+        *([lines] if lists else []),
     )
 
     def per_rule(value: Callable[[Rule], object]) -> Column:
@@ -612,11 +637,11 @@ def _alerts(matched: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         per_rule(lambda r: r.window_seconds).cast("bigint").alias("time_window_seconds"),
         micros_to_z(F.col("first_us")).alias("first_seen"),
         micros_to_z(F.col("last_us")).alias("last_seen"),
-        "subject", "matched_line_numbers",
+        *dict.fromkeys(["subject", *rest]),
     )
     return shaped.select(
         "upload_id", "rule", "severity", "source_ip", "username", "count", "time_window_seconds",
-        "first_seen", "last_seen", _description(rules).alias("description"), "matched_line_numbers",
+        "first_seen", "last_seen", _description(rules).alias("description"), *rest,
     )
 
 

@@ -5,7 +5,9 @@ All membership tests ("line in matched lines", "event in incident") are explode
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logvigil.functions import fixed_values as V
 from logvigil.functions import labels as L
@@ -14,16 +16,59 @@ from logvigil.functions.text import null_if_empty
 LINE_KEY = ["upload_id", "line_number"]
 
 
-def evidence_join(logs: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Events: every log with the first alert of its upload that lists its line.
+#: Lines of an upload that are looked up together; a run of lines never goes over such a stretch.
+BUCKET = 1024
+
+
+def _bucket(line: Column) -> Column:
+    return F.floor(line / BUCKET).cast("bigint").alias("bucket")
+
 
-    The first alert per line is an aggregate, so the join never fans out.
+def line_runs(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The lines of each key as runs: the keys, ``bucket``, ``first_line``, ``last_line``.
+
+    An alert of any number of lines is as many rows as it has runs, cut at every ``BUCKET`` lines; no
+    array ever holds more lines than a bucket has.
     """
-    listed = alerts.select(
-        "upload_id", F.explode("matched_line_numbers").alias("line_number"),
-        F.struct("created_at", "id").alias("rank"),
-        F.struct(F.col("id"), "severity", "rule", "description").alias("alert"),
+    grouped = lines.groupBy(*keys, _bucket(F.col("line_number"))).agg(F.sort_array(F.collect_set("line_number")).alias("n"))
+    n = F.col("n")
+    ends = F.arrays_zip(
+        F.filter(n, lambda x, i: (i == 0) | (F.get(n, i - 1) != x - 1)).alias("first_line"),
+        F.filter(n, lambda x, i: (i == F.size(n) - 1) | (F.get(n, i + 1) != x + 1)).alias("last_line"),
     )
+    return grouped.select(*keys, "bucket", F.explode(ends).alias("run")).select(*keys, "bucket", "run.first_line", "run.last_line")
+
+
+def alert_runs(alerts: DataFrame) -> DataFrame:
+    """``alert_id, upload_id, bucket, first_line, last_line`` of stored alerts that list their lines in an array."""
+    lines = alerts.select(F.col("id").alias("alert_id"), "upload_id", F.explode("matched_line_numbers").alias("line_number"))
+    return line_runs(lines, ["alert_id", "upload_id"])
+
+
+def evidence_rows(runs: DataFrame, logs: DataFrame) -> DataFrame:
+    """``alert_id, upload_id, line_number, log_id, evidence_id``: the stored logs of each alert, by bucketed intervals.
+
+    The join is on upload and bucket; a bucket holds at most ``BUCKET`` lines, whatever the upload.
+    """
+    lines = logs.select("upload_id", "line_number", F.col("id").alias("log_id"), _bucket(F.col("line_number")))
+    hits = runs.join(lines, ["upload_id", "bucket"]).filter(F.col("line_number").between(F.col("first_line"), F.col("last_line")))
+    return hits.select("alert_id", "upload_id", "line_number", "log_id",
+                       L.evidence_id(F.col("log_id"), F.col("upload_id"), F.col("line_number")).alias("evidence_id"))
+
+
+def evidence_join(logs: DataFrame, alerts: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Events: every log with the first alert of its upload that lists its line.
+
+    The first alert per line is an aggregate, so the join never fans out. With ``runs`` (see
+    ``alert_runs``) the alerts need no arrays of lines.
+    """
+    rank = F.struct("created_at", "id").alias("rank")
+    alert = F.struct(F.col("id"), "severity", "rule", "description").alias("alert")
+    if runs is None:
+        listed = alerts.select("upload_id", F.explode("matched_line_numbers").alias("line_number"), rank, alert)
+    else:
+        named = alerts.select(F.col("id").alias("alert_id"), rank, alert)
+        listed = evidence_rows(runs, logs).select("alert_id", *LINE_KEY).join(named, "alert_id")
     first = listed.groupBy(*LINE_KEY).agg(F.min_by("alert", "rank").alias("alert"))
     text = lambda name: null_if_empty(F.col(name))
     severity = F.lower(F.coalesce(text("alert.severity"), text("severity"), F.lit("info")))
@@ -45,11 +90,16 @@ def evidence_join(logs: DataFrame, alerts: DataFrame) -> DataFrame:
     )
 
 
-def alert_view(alerts: DataFrame, logs: DataFrame) -> DataFrame:
-    """Alerts as the dashboard shows them, with the ids of their evidence in line order."""
-    lines = alerts.select(F.col("id").alias("alert_id"), "upload_id",
-                          F.explode(F.array_distinct("matched_line_numbers")).alias("line_number"))
-    hits = lines.join(logs.select(*LINE_KEY, F.col("id").alias("log_id")), LINE_KEY)
+def alert_view(alerts: DataFrame, logs: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Alerts as the dashboard shows them, with the ids of their evidence in line order.
+
+    With ``runs`` the lines come from there; ``evidence_rows`` has the evidence as rows."""
+    if runs is None:
+        lines = alerts.select(F.col("id").alias("alert_id"), "upload_id",
+                              F.explode(F.array_distinct("matched_line_numbers")).alias("line_number"))
+        hits = lines.join(logs.select(*LINE_KEY, F.col("id").alias("log_id")), LINE_KEY)
+    else:
+        hits = evidence_rows(runs, logs)
     # An alert has at most as many hits as it lists lines, so the lists are as bounded as its rows.
     evidence = hits.groupBy(F.col("alert_id").alias("id")).agg(
         F.transform(

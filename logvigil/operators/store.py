@@ -52,14 +52,23 @@ def _matching_uploads(logs: DataFrame, query: str | None) -> DataFrame:
     )
 
 
-def upload_history(logs: DataFrame, alerts: DataFrame, query: str | None = None, page: int = 1,
-                   page_size: int = 25) -> DataFrame:
-    """A page of uploads, newest first, with log and alert counts."""
+def uploads(logs: DataFrame, alerts: DataFrame, query: str | None = None) -> DataFrame:
+    """All uploads with log and alert counts."""
     grouped = _matching_uploads(logs, query).groupBy(
         "upload_id", F.col("source_filename").alias("filename"), F.col("source_format").alias("format")
     ).agg(F.max("ingested_at").alias("uploaded_at"), F.count(F.lit(1)).alias("stored_entries"))
+    return _with_alert_counts(grouped, alerts)
+
+
+#: Newest uploads first: the order of ``upload_history``, for ``browse.page_after``.
+UPLOAD_ORDER = [("uploaded_at", True), ("upload_id", True), ("filename", False), ("format", False)]
+
+
+def upload_history(logs: DataFrame, alerts: DataFrame, query: str | None = None, page: int = 1,
+                   page_size: int = 25) -> DataFrame:
+    """A page of uploads, newest first, with log and alert counts."""
     return (
-        _with_alert_counts(grouped, alerts)
+        uploads(logs, alerts, query)
         .orderBy(F.desc("uploaded_at"), F.desc("upload_id"), "filename", "format")
         .offset((page - 1) * page_size).limit(page_size)
     )

@@ -106,6 +106,17 @@ for _name, _rule in RULES.items():
     _register(_name, [_rule])
 _register("c07_run_detection", list(RULES.values()))
 
+
+@query("c07b_detect_runs", f"""
+SELECT * EXCLUDE (matched_line_numbers), CAST(unnest(string_split(matched_line_numbers, ',')) AS BIGINT) AS line_number
+FROM ({detection_sql(list(RULES.values()))})""")
+def _(spark, folder):
+    """The alerts of c07 with a row for each line, from runs of lines instead of arrays."""
+    alerts, runs = D.detect(B.logs(spark, folder), list(RULES.values()))
+    lines = runs.select(*D.ALERT_KEY, F.explode(F.sequence("first_line", "last_line")).alias("line_number"))
+    return alerts.join(lines, D.ALERT_KEY).drop("subject", "end_us", "end_line")
+
+
 _TITLE = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{t}'" for r, t in V.RULE_TITLES.items()) + " ELSE 'Security alert' END"
 
 

@@ -13,7 +13,7 @@ from logvigil.operators import store as T
 from logvigil.plans import bindings as B
 from logvigil.plans import snippets as S
 from logvigil.plans.detection_queries import _CATALOG
-from logvigil.plans.registry import query
+from logvigil.plans.registry import CHECKS, query
 
 
 @query("d01_latest_upload", B.with_tables("logs", "SELECT upload_id FROM logs ORDER BY ingested_at DESC, id DESC LIMIT 1"))
@@ -331,3 +331,36 @@ def _(spark, folder):
     ids = B.incident_views(spark, folder).withColumn(
         "id", F.when(F.col("backend_id") % 10 == 0, F.concat("id", F.lit("x"))).otherwise(F.col("id")))
     return W.next_sequential_id(ids, "INC-", 1000, 4)
+
+
+# ---- alerts whose lines are runs, and pages by their last key ------------------------------
+
+@query("d16b_evidence_by_runs", CHECKS["d16_evidence_join"])
+def _(spark, folder):
+    alerts = B.alerts(spark, folder)
+    runs = E.alert_runs(alerts)
+    events = E.evidence_join(B.logs(spark, folder), alerts.drop("matched_line_numbers"), runs)
+    return events.drop("upload_id", "line_number", "country_code", "country")
+
+
+@query("d17b_alert_view_by_runs", CHECKS["d17_alert_view"])
+def _(spark, folder):
+    alerts = B.alerts(spark, folder)
+    return E.alert_view(alerts.drop("matched_line_numbers"), B.logs(spark, folder), E.alert_runs(alerts))
+
+
+@query("d03b_upload_history_by_key", CHECKS["d03_upload_history"])
+def _(spark, folder):
+    """Page two, found by the last key of page one."""
+    found = W.pages(T.uploads(B.logs(spark, folder), B.alerts(spark, folder)), T.UPLOAD_ORDER, 25)
+    next(found)
+    return next(found)
+
+
+@query("d27b_page_by_key", B.with_tables("av", """
+SELECT id, source_ip, severity FROM av ORDER BY created_at DESC, backend_id LIMIT 50 OFFSET 100"""))
+def _(spark, folder):
+    """Page three of d27, by the last keys of pages one and two; nothing is counted."""
+    found = W.pages(B.alert_views(spark, folder), [("created_at", True), ("backend_id", False)], 50)
+    next(found), next(found)
+    return next(found).select("id", "source_ip", "severity")
