@@ -10,6 +10,14 @@ from __future__ import annotations
 
 CORE_FIELDS = ["timestamp", "ip_address", "username", "event_type", "status"]
 
+# What each format adds to the core fields in the summary of a parse.
+FORMAT_FIELDS = {
+    "syslog": ["hostname", "process", "pid", "message", "severity"],
+    "apache_combined": ["ip", "ident", "user", "method", "path", "protocol", "status_code", "bytes", "referer", "user_agent"],
+    "json": ["severity", "message", "json"],
+    "generic": ["level", "key_values", "json", "message"],
+}
+
 NULL_TOKENS = ["", "-", "null", "NULL", "None"]
 
 ALLOWED_EXTENSIONS = [".log", ".csv", ".json", ".jsonl"]

@@ -17,10 +17,30 @@ from logvigil.sources import files, parsers, sinks, splits
 CORE = ["timestamp", "ip_address", "username", "event_type", "status", "severity"]
 
 
-@query("a01_scan_files")
+def _named(path):
+    return F.regexp_extract(path, "/name=([^/]+)/", 1)
+
+
+def _as_files(texts: DataFrame, *order: str) -> str:
+    """Rows of ``name, text`` written as files, one folder for each name; the folder they are in."""
+    place = f"{shared_folder(texts.sparkSession)}/split-files-{uuid.uuid4().hex}"
+    texts.repartition("name").sortWithinPartitions("name", *order).select("name", "text").write.partitionBy("name").text(place)
+    return place
+
+
+def _document_files(spark, folder) -> str:
+    """A thousand documents a file."""
+    name = Q.text("docs", F.floor(F.col("doc_id") / 1000), ".txt")
+    return _as_files(B.table(spark, folder, "documents").select(name.alias("name"), "doc_id", "text"), "doc_id")
+
+
+@query("a01_scan_files", """
+SELECT 'docs' || (doc_id // 1000) || '.txt' AS name, 'txt' AS ext, CAST(sum(strlen(text) + 1) AS BIGINT) AS length,
+  CAST(sum(strlen(text) + 1) AS BIGINT) AS content_bytes FROM documents GROUP BY doc_id // 1000""")
 def _(spark, folder):
-    """The driver's own files, by name and size; nothing but the listing is read."""
-    return files.scan_files(spark, folder).select("name", "ext", "length")
+    """Files written from the documents, by name and size, with what was read of them."""
+    found = files.scan_files(spark, _document_files(spark, folder)).withColumn("name", _named(F.col("path")))
+    return found.select("name", files.file_extension(F.col("name")).alias("ext"), "length", F.length("content").cast("bigint").alias("content_bytes"))
 
 
 # ---- admission ----------------------------------------------------------------------------
@@ -244,17 +264,6 @@ def _(spark, folder):
 
 # ---- files of any size, read by splits ------------------------------------------------------
 
-def _named(path):
-    return F.regexp_extract(path, "/name=([^/]+)/", 1)
-
-
-def _as_files(texts: DataFrame, *order: str) -> str:
-    """Rows of ``name, text`` written as files, one folder for each name; the folder they are in."""
-    place = f"{shared_folder(texts.sparkSession)}/split-files-{uuid.uuid4().hex}"
-    texts.repartition("name").sortWithinPartitions("name", *order).select("name", "text").write.partitionBy("name").text(place)
-    return place
-
-
 @query("a02b_size_limit", """
 SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'INVALID_FILE_TYPE' WHEN doc_id % 10 = 1 THEN 'INVALID_MIME_TYPE' WHEN size > 2000 THEN 'FILE_TOO_LARGE'
     WHEN doc_id % 10 = 2 THEN 'EMPTY_FILE' WHEN doc_id % 10 = 3 THEN 'BINARY_FILE'
@@ -271,9 +280,7 @@ FROM (SELECT doc_id, unnest(parts) AS raw, unnest(range(len(parts))) AS place
 WHERE regexp_matches(raw, '\\S')""")
 def _(spark, folder):
     """A thousand documents a file, each file read in many splits."""
-    name = Q.text("docs", F.floor(F.col("doc_id") / 1000), ".txt")
-    place = _as_files(B.table(spark, folder, "documents").select(name.alias("name"), "doc_id", "text"), "doc_id")
-    return splits.split_lines(spark, place, name=_named, split_bytes=1 << 18).select("name", "line_number", "raw")
+    return splits.split_lines(spark, _document_files(spark, folder), name=_named, split_bytes=1 << 18).select("name", "line_number", "raw")
 
 
 def _split_uploads(spark, folder, texts: DataFrame) -> DataFrame:
@@ -315,3 +322,17 @@ def _(spark, folder):
     records, found = splits.split_records(spark, _as_files(texts), name=_named, split_bytes=1 << 13)
     ids = {"upload_id": F.col("name"), "source_filename": F.col("name")}
     return parsers.parse_summary(parsers.parse_records(records.withColumns(ids), lines.YEAR), found.filter("code IS NULL").withColumns(ids))
+
+
+_FIELDS = " ".join(f"WHEN {kind} THEN '{','.join([*V.CORE_FIELDS, *V.FORMAT_FIELDS[name]])}'"
+                   for kind, name in ((0, "syslog"), (1, "apache_combined"), (3, "json"), (4, "generic")))
+
+
+@query("a13c_summary_fields", B.with_tables("numbered", f"""
+SELECT upload_id, count(*) + CASE WHEN min(kind) = 2 THEN 1 ELSE 0 END AS total_lines,
+  CASE min(kind) {_FIELDS} ELSE '{",".join(V.CORE_FIELDS)},source_ip,user,event,result,remark,score' END AS fields
+FROM numbered GROUP BY upload_id"""))
+def _(spark, folder):
+    found = lines.accepted_files(spark, folder)
+    described = found.withColumn("fields", parsers.format_fields(found))
+    return parsers.parse_summary(_all_parsed(spark, folder), described).select("upload_id", "total_lines", "fields")

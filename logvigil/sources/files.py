@@ -124,6 +124,13 @@ def csv_cells(record: Column) -> Column:
     return F.transform(fields, unquoted)
 
 
+def csv_header_fields(text: Column) -> Column:
+    """Column names of a CSV text's first record; empty when that is blank."""
+    first = F.regexp_extract(text, CSV_RECORD, 1)
+    names = F.transform(csv_cells(first), lambda h: F.replace(F.lower(strip(h)), F.lit(" "), F.lit("_")))
+    return F.when(first != "", names).otherwise(F.array().cast("array<string>"))
+
+
 _RECORD = "struct<line_number:bigint,raw:string,record:string,reason:string>"
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logvigil.functions import fixed_values as V
 from logvigil.functions import text as X
 from logvigil.functions.timefn import apache_date, syslog_date
-from logvigil.sources.files import csv_cells
+from logvigil.sources.files import csv_cells, csv_header_fields
 
 SEPARATOR = "\u0001"
 NO_MATCH = "No regex match"
@@ -244,17 +244,29 @@ def dead_letter(parsed: DataFrame) -> DataFrame:
     )
 
 
+def format_fields(files: DataFrame) -> Column:
+    """The fields that parsing a file gives: the core fields and those of its format, or the columns of a CSV file's
+    header, each once; none for a CSV file without a header. Reads format and text, or header where that is known."""
+    array = lambda names: F.array(*map(F.lit, names))
+    head = F.col("header") if "header" in files.columns else csv_header_fields(F.col("text"))
+    chain = F.when(F.col("format") == "csv", F.when(F.size(head) > 0, F.array_distinct(F.concat(array(V.CORE_FIELDS), head))).otherwise(F.array().cast("array<string>")))
+    for name, own in V.FORMAT_FIELDS.items():
+        chain = chain.when(F.col("format") == name, array([*V.CORE_FIELDS, *own]))
+    return chain
+
+
 def parse_summary(parsed: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Per upload: parsed and skipped counts, and the rejection of uploads without any event.
 
-    ``files`` (with total_lines) keeps uploads that produced no record at all.
+    ``files`` (with total_lines) keeps uploads that produced no record at all; ``fields`` is
+    carried over where they have it (see ``format_fields``).
     """
     counts = parsed.groupBy("upload_id").agg(
         F.count_if(F.col("reason").isNull()).alias("parsed_entries"),
         F.count_if(F.col("reason").isNotNull()).alias("skipped_lines"),
     )
     if files is not None:
-        described = files.select("upload_id", "source_filename", "format", "total_lines")
+        described = files.select("upload_id", "source_filename", "format", "total_lines", *[c for c in ("fields",) if c in files.columns])
         counts = described.join(counts, "upload_id", "left").na.fill(0, ["parsed_entries", "skipped_lines"])
     return counts.withColumn(
         "code", F.when(F.col("parsed_entries") == 0, "NO_PARSEABLE_EVENTS")
