@@ -10,16 +10,43 @@ from logvigil.functions.text import strip
 ISO_TEXT = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 )
+#: The other spellings of ISO 8601: basic dates and times, week dates, hours alone, any separator but a digit, offsets to the second.
+_ISO_TIME = r"(?:\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?|\d{4}(?:\d{2}(?:[.,]\d+)?)?)"
+_ISO_ZONE = r"(?:Z|[+-]\d{2}(?::\d{2}(?::\d{2}(?:\.\d+)?)?|\d{2}(?:\d{2}(?:\.\d+)?)?)?)?"
+ISO_OTHER = rf"^(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{8}}|\d{{4}}-W\d{{2}}(?:-[1-7])?|\d{{4}}W\d{{2}}[1-7]?)(?:\D{_ISO_TIME}{_ISO_ZONE})?$"
+_ISO_PARTS = (r"^(\d{4})-?(W?)(\d{2})-?(\d{0,2})(?:\D(\d{2}):?(\d{2})?:?(\d{2})?(?:[.,](\d+))?"
+              r"(?:Z|([+-])(\d{2}):?(\d{2})?:?(\d{2})?(?:\.(\d+))?)?)?$")
 Z_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
 def parse_event_ts(c: Column) -> Column:
     """ISO-8601 text to a timestamp, null when it is anything else.
 
-    The guard matters: Spark would read a bare time of day as today.
+    The guard matters: Spark would read a bare time of day as today. Common spellings are cast; the
+    others are taken apart.
     """
     text = strip(c)
-    return F.when(text.rlike(ISO_TEXT), F.replace(text, F.lit(","), F.lit(".")).try_cast("timestamp"))
+    common = F.replace(text, F.lit(","), F.lit(".")).try_cast("timestamp")
+    return F.coalesce(F.when(text.rlike(ISO_TEXT), common), F.when(text.rlike(ISO_OTHER), _iso_other(text)))
+
+
+def _iso_other(text: Column) -> Column:
+    """A time from its parts, null where one is out of its range; fractions are cut to microseconds."""
+    part = lambda i: F.regexp_extract(text, _ISO_PARTS, i)
+    number = lambda i: F.coalesce(part(i).try_cast("bigint"), F.lit(0).cast("bigint"))
+    micros = lambda i: F.substring(F.rpad(part(i), 6, "0"), 1, 6).cast("bigint")
+    year, is_week = part(1), part(2) == "W"
+    plain = F.concat_ws("-", year, part(3), part(4)).try_cast("date")
+    week, fourth = number(3), F.concat(year, F.lit("-01-04")).try_cast("date")
+    weeks = F.weekofyear(F.concat(year, F.lit("-12-28")).try_cast("date"))
+    monday = F.unix_date(F.date_trunc("week", fourth).cast("date"))
+    by_week = F.when(week.between(1, weeks), monday + (week - 1) * 7 + F.greatest(number(4), F.lit(1)) - 1)
+    day = F.when(is_week, by_week).otherwise(F.unix_date(plain))
+    in_range = (number(5) < 24) & (number(6) < 60) & (number(7) < 60) & (number(10) < 24) & (number(11) < 60) & (number(12) < 60)
+    seconds = number(5) * 3600 + number(6) * 60 + number(7)
+    offset = (number(10) * 3600 + number(11) * 60 + number(12)) * 1_000_000 + micros(13)
+    moment = day * 86_400_000_000 + seconds * 1_000_000 + micros(8) - F.when(part(9) == "-", -offset).otherwise(offset)
+    return F.when(in_range & (year != "0000"), F.timestamp_micros(moment))
 
 
 def parse_detector_ts(c: Column, year: int) -> Column:

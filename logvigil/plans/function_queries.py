@@ -182,6 +182,21 @@ def _(spark, folder):
         F.unix_micros(T.parse_detector_ts(raw, lines.YEAR)).alias("detector_us"))
 
 
+@query("b13b_iso_forms", """
+SELECT event_id, CASE v WHEN 0 THEN second_us WHEN 1 THEN second_us // 3600000000 * 3600000000 WHEN 2 THEN second_us
+    WHEN 3 THEN day_us + second_us % 3600000000 // 60000000 * 60000000 WHEN 4 THEN epoch_us(ts) - 19800000000 WHEN 5 THEN day_us WHEN 6 THEN epoch_us(ts) + 3661000000 END AS event_us
+FROM (SELECT event_id, ts, event_id % 8 AS v, epoch_us(date_trunc('second', ts)) AS second_us, epoch_us(date_trunc('day', ts)) AS day_us FROM events)""")
+def _(spark, folder):
+    """Basic, hour-only, odd separator, week date, basic offset, basic date, offset to the second, out of range."""
+    ts = F.col("ts").cast("timestamp")
+    as_text = lambda fmt: F.date_format(ts, fmt)
+    week = text(F.expr("extract(YEAROFWEEK FROM ts)"), "-W", F.lpad(F.weekofyear(ts).cast("string"), 2, "0"), "-", F.expr("extract(DAYOFWEEK_ISO FROM ts)"))
+    raw = variant(F.col("event_id"), as_text("yyyyMMdd'T'HHmmss'Z'"), as_text("yyyy-MM-dd'T'HH"), as_text("yyyy-MM-dd'_'HH:mm:ss"),
+                  F.concat(week, as_text("'T00'mm")), as_text("yyyyMMdd HHmmss.SSSSSS'123+0530'"), as_text("yyyyMMdd"),
+                  as_text("yyyy-MM-dd'T'HH:mm:ss,SSSSSS'-01:01:01'"), as_text("yyyy-'13'-dd'T'HH"))
+    return B.table(spark, folder, "events").select("event_id", F.unix_micros(T.parse_event_ts(raw)).alias("event_us"))
+
+
 @query("b14_format_ts_z", f"SELECT event_id, {S.ts_z('ts')} AS z FROM events")
 def _(spark, folder):
     return B.table(spark, folder, "events").select("event_id", T.format_ts_z(F.col("ts").cast("timestamp")).alias("z"))

@@ -1,5 +1,8 @@
 """Pinned values of the column expressions."""
 
+import random
+from datetime import datetime, timedelta, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +91,23 @@ def test_tags(spark):
     assert value(spark, L.normalize_tags(tags)) == ["a", "b"]
     assert value(spark, L.split_tags(F.lit("x, Y,,x"))) == ["x", "y"]
     assert not value(spark, L.tags_valid(F.array(F.lit("t" * 41))))
+
+
+def test_iso_forms_equal_the_standard_library(spark):
+    rng = random.Random(2)
+    dates = ["2026-06-14", "20260614", "2026-W24-7", "2026W247", "2026-W24", "2026W24", "2026-W53-1", "2025-W53", "2020-W53-7", "2026-13-01", "20260230", "2026-W00-1",
+             "2026-061", "2024-02-29", "2023-0229", "2021-W01-1"]
+    times = ["02", "02:11", "0211", "02:11:43", "021143", "021143.5", "02:11:43,123456789", "24:00", "02:60", "0211:43", "02:11:60", "2", "235959.9999999", ""]
+    zones = ["", "Z", "+02", "-0530", "+05:30", "+05:30:15", "-053015.25", "+24:00", "+5", "z", "+23:59"]
+    texts = [rng.choice(dates) + rng.choice(["T", " ", "_", "t", "é"]) + rng.choice(times) + rng.choice(zones) for _ in range(3000)] + dates
+
+    def standard(text):
+        try:
+            moment = datetime.fromisoformat(text.strip()[:-1] + "+00:00" if text.strip().endswith("Z") else text.strip())
+        except ValueError:
+            return None
+        return (moment.replace(tzinfo=moment.tzinfo or timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+
+    frame = spark.createDataFrame([(t,) for t in texts], "raw string").select("raw", F.unix_micros(T.parse_event_ts(F.col("raw"))).alias("us"))
+    wrong = [(r.raw, r.us, standard(r.raw)) for r in frame.collect() if r.us != standard(r.raw)]
+    assert not wrong, wrong[:10]
