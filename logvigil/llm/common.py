@@ -66,14 +66,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a compressed table in the shared folder: smaller than a checkpoint where rows are wide."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """``df`` as a compressed table in the shared folder: smaller than a checkpoint where rows are wide.
+
+    ``tidy`` lets Spark remove the shuffle files of this one job when it ends: the table is what later ones read.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None) if tidy else None
+    try:
+        if tidy:
+            spark.conf.set(_CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(table: DataFrame) -> None:
+    """Delete the tables made by ``written`` that ``table`` reads, once nothing needs them any more."""
+    spark = table.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -428,6 +428,51 @@ def test_equal_passages_meet_without_a_hub(spark):
     assert {(r.doc_id, r.other_id) for r in got if r.doc_id < 1000} == set(want.items())
     assert all(abs(r.start - 80) <= 3 and 57 <= r.n_words <= 66 for r in got if r.doc_id < 1000)
     assert {r.doc_id for r in got if r.doc_id >= 1000} == set(range(1000, 1040))
+    assert {r.class_id for r in got if r.doc_id >= 1000} == {1000}
+    partners = collections.defaultdict(set)
+    for r in got:
+        partners[r.doc_id].add(r.other_id)
+    assert all(r.n_links == len(partners[r.doc_id]) for r in got)
+
+
+def test_passages_do_not_depend_on_partitions(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    hot = some(60)
+    docs = [(i, " ".join(some(30) + hot * (30 if i == 3 else 2) + some(30))) for i in range(12)]  # one document repeats the seeds of all
+    docs += [(100 + i, " ".join(some(40) + hot[:55] + some(40))) for i in range(5)] + [(3, docs[3][1])]
+    table, before, found = spark.createDataFrame(docs, "doc_id long, text string"), spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for count in (1, 3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", count)
+            found.append(sorted(map(tuple, substring.repeated_passages(table).distinct().collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and {r[0] for r in found[0]} == {i for i, _ in docs}
+
+
+def test_open_rows_meet_the_nearest_other_document():
+    rng = random.Random(14)
+    for _ in range(300):
+        rows = sorted([rng.randrange(3), rng.randrange(3), i, 0, 0] for i in range(rng.randrange(1, 25)))
+        cuts = sorted(rng.sample(range(1, len(rows)), min(len(rows) - 1, rng.randrange(6))))
+        pieces = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        sides = {}
+        for p, piece in enumerate(pieces):
+            first, last = piece[0], piece[-1]
+            other = [r for r in piece if r[:2] != first[:2]], [r for r in piece if r[:2] != last[:2]]
+            sides[p] = {0: first, 3: last} | ({1: other[0][0]} if other[0] else {}) | ({2: other[1][-1]} if other[1] else {})
+        for step in (-1, 1):
+            want, at = {}, 0
+            for p, piece in enumerate(pieces):
+                mine = piece[0] if step < 0 else piece[-1]
+                around = rows[: at][::-1] if step < 0 else rows[at + len(piece) :]
+                found = next((r for r in around if r[:2] != mine[:2]), None)
+                if found and found[0] == mine[0]:
+                    want[p] = found
+                at += len(piece)
+            assert substring.neighbours(sides, step) == want
 
 
 def plain_licences(text):
