@@ -336,3 +336,10 @@ PLAYBOOKS = {
 # Result texts of the threat summary.
 CORRELATE = "Correlate the account, source, and host activity before containment."
 ATTEMPT_CORRELATE = "Possible privilege escalation attempt. Correlate the account, source, and host activity before containment."
+
+# Longest texts of stored columns, most tags of a note and longest tag.
+LOG_LENGTHS = {"source_filename": 255, "source_format": 50, "username": 100, "event_type": 100, "status": 30, "severity": 30}
+ALERT_LENGTHS = {"rule": 100, "title": 150, "severity": 20, "status": 30, "username": 100}
+USER_LENGTHS = {"username": 50, "email": 255, "full_name": 100}
+ROLE_LENGTHS = {"name": 50}
+MOST_TAGS, LONGEST_TAG = 6, 40

@@ -271,43 +271,74 @@ def revert_backfill(incidents: DataFrame) -> DataFrame:
     )
 
 
+def _broken(table: DataFrame, name: str, constraint: str, test: Column, key: str = "id") -> DataFrame:
+    return table.filter(test).select(
+        F.lit(name).alias("table_name"), F.lit(constraint).alias("constraint"),
+        F.col(key).cast("string").alias("key"),
+    )
+
+
+def _duplicated(table: DataFrame, name: str, constraint: str, *columns: str) -> DataFrame:
+    groups = table.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return groups.select(
+        F.lit(name).alias("table_name"), F.lit(constraint).alias("constraint"),
+        F.concat_ws("/", *[F.col(c).cast("string") for c in columns]).alias("key"),
+    )
+
+
+def _dangling(table: DataFrame, name: str, column: str, parent: DataFrame) -> DataFrame:
+    keys = parent.select(F.col("id").alias(column))
+    lost = table.filter(F.col(column).isNotNull()).join(keys, column, "left_anti")
+    return _broken(lost, name, f"fk_{column}", F.lit(True))
+
+
+def _all_broken(table: DataFrame, name: str, tests: dict[str, Column], key: str = "id") -> DataFrame:
+    """Several tests of one table's rows in one scan."""
+    failed = F.array_compact(F.array(*[F.when(test, F.lit(constraint)) for constraint, test in tests.items()]))
+    return table.select(F.lit(name).alias("table_name"), F.explode(failed).alias("constraint"), F.col(key).cast("string").alias("key"))
+
+
 def check_constraints(logs: DataFrame, alerts: DataFrame, incidents: DataFrame, notes: DataFrame,
                       users: DataFrame) -> DataFrame:
     """Violations as (table_name, constraint, key). Every check is a filter, a group or an anti join."""
-    def broken(table: DataFrame, name: str, constraint: str, test: Column, key: str = "id") -> DataFrame:
-        return table.filter(test).select(
-            F.lit(name).alias("table_name"), F.lit(constraint).alias("constraint"),
-            F.col(key).cast("string").alias("key"),
-        )
-
-    def duplicated(table: DataFrame, name: str, constraint: str, *columns: str) -> DataFrame:
-        groups = table.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        return groups.select(
-            F.lit(name).alias("table_name"), F.lit(constraint).alias("constraint"),
-            F.concat_ws("/", *[F.col(c).cast("string") for c in columns]).alias("key"),
-        )
+    outside = lambda column, allowed: F.col(column).isNull() | ~F.col(column).isin(allowed)
+    parts = [
+        _broken(alerts, "alerts", "severity", outside("severity", V.SEVERITIES)),
+        _broken(alerts, "alerts", "status", outside("status", V.ALERT_STATUSES)),
+        _broken(incidents, "incidents", "priority", outside("priority", V.SEVERITIES)),
+        _broken(incidents, "incidents", "status", outside("status", V.INCIDENT_STATUSES)),
+        _broken(incidents, "incidents", "title_length", F.length("title") > 150),
+        _broken(notes, "notes", "body_not_blank", F.coalesce(strip(F.col("body")) == "", F.lit(True))),
+        _broken(notes, "notes", "body_length", F.length("body") > 5000),
+        _broken(notes, "notes", "title_length", F.length("title") > 100),
+        _duplicated(logs, "logs", "unique_upload_line", "upload_id", "line_number"),
+        _duplicated(incidents, "incidents", "unique_source_alert", "source_alert_id"),
+        _dangling(incidents, "incidents", "source_alert_id", alerts),
+        _dangling(incidents, "incidents", "assigned_user_id", users),
+        _dangling(notes, "notes", "incident_id", incidents),
+        _dangling(notes, "notes", "author_user_id", users),
+    ]
+    report = parts[0]
+    for part in parts[1:]:
+        report = report.unionByName(part)
+    return report
 
-    def dangling(table: DataFrame, name: str, column: str, parent: DataFrame) -> DataFrame:
-        keys = parent.select(F.col("id").alias(column))
-        lost = table.filter(F.col(column).isNotNull()).join(keys, column, "left_anti")
-        return broken(lost, name, f"fk_{column}", F.lit(True))
 
-    outside = lambda column, allowed: F.col(column).isNull() | ~F.col(column).isin(allowed)
+def check_accounts_and_lengths(logs: DataFrame, alerts: DataFrame, incidents: DataFrame, notes: DataFrame,
+                               users: DataFrame, roles: DataFrame) -> DataFrame:
+    """Further violations as (table_name, constraint, key): column lengths, required columns, tags, accounts and roles."""
+    longer = lambda limits: {f"{column}_length": F.length(column) > most for column, most in limits.items()}
     parts = [
-        broken(alerts, "alerts", "severity", outside("severity", V.SEVERITIES)),
-        broken(alerts, "alerts", "status", outside("status", V.ALERT_STATUSES)),
-        broken(incidents, "incidents", "priority", outside("priority", V.SEVERITIES)),
-        broken(incidents, "incidents", "status", outside("status", V.INCIDENT_STATUSES)),
-        broken(incidents, "incidents", "title_length", F.length("title") > 150),
-        broken(notes, "notes", "body_not_blank", F.coalesce(strip(F.col("body")) == "", F.lit(True))),
-        broken(notes, "notes", "body_length", F.length("body") > 5000),
-        broken(notes, "notes", "title_length", F.length("title") > 100),
-        duplicated(logs, "logs", "unique_upload_line", "upload_id", "line_number"),
-        duplicated(incidents, "incidents", "unique_source_alert", "source_alert_id"),
-        dangling(incidents, "incidents", "source_alert_id", alerts),
-        dangling(incidents, "incidents", "assigned_user_id", users),
-        dangling(notes, "notes", "incident_id", incidents),
-        dangling(notes, "notes", "author_user_id", users),
+        _all_broken(logs, "logs", longer(V.LOG_LENGTHS)),
+        _all_broken(alerts, "alerts", longer(V.ALERT_LENGTHS)),
+        _all_broken(notes, "notes", {
+            "tag_count": F.size("tags") > V.MOST_TAGS, "tag_length": F.exists("tags", lambda t: F.length(t) > V.LONGEST_TAG)}),
+        _all_broken(users, "users", longer(V.USER_LENGTHS) | {"role_required": F.col("role_id").isNull()}),
+        _all_broken(roles, "roles", longer(V.ROLE_LENGTHS)),
+        *[_duplicated(users.filter(F.col(c).isNotNull()), "users", f"unique_{c}", c) for c in ("username", "email")],
+        _duplicated(roles.filter(F.col("name").isNotNull()), "roles", "unique_name", "name"),
+        _dangling(users, "users", "role_id", roles),
+        *[_dangling(incidents, "incidents", c, users) for c in ("created_by_user_id", "updated_by_user_id")],
     ]
     report = parts[0]
     for part in parts[1:]:

@@ -243,6 +243,13 @@ def _(spark, folder):
     return R.delete_notes(notes, wanted).table.select("id", "incident_id")
 
 
+@query("e05_delete_rejected", B.with_tables("notes", """
+SELECT DISTINCT w.note_id, 'NOTE_NOT_FOUND' AS reason FROM (SELECT id * 3 + 1 AS note_id FROM notes) w WHERE w.note_id NOT IN (SELECT id FROM notes)"""))
+def _(spark, folder):
+    notes = B.notes(spark, folder)
+    return R.delete_notes(notes, notes.select((F.col("id") * 3 + 1).alias("note_id"))).rejected
+
+
 # ---- E6-E8 --------------------------------------------------------------------------------
 
 def _older_incidents(spark, folder):
@@ -293,6 +300,48 @@ def _(spark, folder):
     return R.check_constraints(logs, alerts, incidents, notes, B.users(spark, folder))
 
 
+@query("e07_accounts_and_lengths", B.with_tables("logs incidents notes users roles", """
+WITH bad_logs AS (SELECT id, CASE WHEN id % 211 = 0 THEN repeat('u', 101) ELSE username END AS username, CASE WHEN id % 223 = 0 THEN repeat('e', 101) ELSE event_type END AS event_type,
+  CASE WHEN id % 211 = 0 THEN repeat('f', 256) ELSE source_filename END AS source_filename FROM logs),
+bad_alerts AS (SELECT id, CASE WHEN id % 101 = 0 THEN repeat('x', 151) ELSE title END AS title, CASE WHEN id % 101 = 0 THEN repeat('s', 21) ELSE severity END AS severity FROM alerts),
+bad_notes AS (SELECT id, id % 19 = 0 AS seven, id % 23 = 0 AND id % 19 <> 0 AS wide FROM notes),
+bad_users AS (SELECT id, CASE WHEN id % 50 = 0 THEN 'same' WHEN id % 90 = 1 THEN repeat('u', 51) || id ELSE username END AS username,
+  CASE WHEN id % 60 = 0 THEN 'one@example.com' ELSE email END AS email, CASE WHEN id % 70 = 0 THEN 99 ELSE role_id END AS role_id FROM users),
+bad_roles AS (SELECT id, CASE WHEN id = 2 THEN 'Admin' WHEN id = 3 THEN repeat('r', 51) ELSE name END AS name FROM roles)
+SELECT 'logs' AS table_name, 'username_length' AS "constraint", CAST(id AS VARCHAR) AS key FROM bad_logs WHERE length(username) > 100
+UNION ALL SELECT 'logs', 'event_type_length', CAST(id AS VARCHAR) FROM bad_logs WHERE length(event_type) > 100
+UNION ALL SELECT 'logs', 'source_filename_length', CAST(id AS VARCHAR) FROM bad_logs WHERE length(source_filename) > 255
+UNION ALL SELECT 'alerts', 'title_length', CAST(id AS VARCHAR) FROM bad_alerts WHERE length(title) > 150
+UNION ALL SELECT 'alerts', 'severity_length', CAST(id AS VARCHAR) FROM bad_alerts WHERE length(severity) > 20
+UNION ALL SELECT 'notes', 'tag_count', CAST(id AS VARCHAR) FROM bad_notes WHERE seven
+UNION ALL SELECT 'notes', 'tag_length', CAST(id AS VARCHAR) FROM bad_notes WHERE wide
+UNION ALL SELECT 'users', 'username_length', CAST(id AS VARCHAR) FROM bad_users WHERE length(username) > 50
+UNION ALL SELECT 'users', 'role_required', CAST(id AS VARCHAR) FROM bad_users WHERE role_id IS NULL
+UNION ALL SELECT 'users', 'unique_username', username FROM bad_users GROUP BY username HAVING count(*) > 1
+UNION ALL SELECT 'users', 'unique_email', email FROM bad_users GROUP BY email HAVING count(*) > 1
+UNION ALL SELECT 'users', 'fk_role_id', CAST(id AS VARCHAR) FROM bad_users WHERE role_id NOT IN (SELECT id FROM bad_roles)
+UNION ALL SELECT 'roles', 'name_length', CAST(id AS VARCHAR) FROM bad_roles WHERE length(name) > 50
+UNION ALL SELECT 'roles', 'unique_name', name FROM bad_roles GROUP BY name HAVING count(*) > 1
+UNION ALL SELECT 'incidents', 'fk_created_by_user_id', CAST(id AS VARCHAR) FROM incidents WHERE created_by_user_id NOT IN (SELECT id FROM users)
+UNION ALL SELECT 'incidents', 'fk_updated_by_user_id', CAST(id AS VARCHAR) FROM incidents WHERE updated_by_user_id NOT IN (SELECT id FROM users)"""))
+def _(spark, folder):
+    n = F.col("id")
+    spoil = lambda test, value, column: F.when(test, value).otherwise(F.col(column))
+    long = lambda letter, size: F.repeat(F.lit(letter), size)
+    logs = B.logs(spark, folder).withColumns({
+        "username": spoil(n % 211 == 0, long("u", 101), "username"), "event_type": spoil(n % 223 == 0, long("e", 101), "event_type"),
+        "source_filename": spoil(n % 211 == 0, long("f", 256), "source_filename")})
+    alerts = B.alerts(spark, folder).withColumns({
+        "title": spoil(n % 101 == 0, long("x", 151), "title"), "severity": spoil(n % 101 == 0, long("s", 21), "severity")})
+    notes = B.notes(spark, folder).withColumn("tags", F.when(n % 19 == 0, F.array_repeat(F.lit("tag"), 7)).when(n % 23 == 0, F.array(long("t", 41))).otherwise(F.col("tags")))
+    users = B.users(spark, folder)
+    bad_users = users.withColumns({
+        "username": F.when(n % 50 == 0, "same").when(n % 90 == 1, F.concat(long("u", 51), n.cast("string"))).otherwise(F.col("username")),
+        "email": spoil(n % 60 == 0, "one@example.com", "email"), "role_id": spoil(n % 70 == 0, 99, "role_id")})
+    roles = B.roles(spark, folder).withColumn("name", F.when(n == 2, "Admin").when(n == 3, long("r", 51)).otherwise(F.col("name")))
+    return R.check_accounts_and_lengths(logs, alerts, B.incidents(spark, folder), notes, bad_users, roles)
+
+
 @query("e08_note_versions", """
 SELECT conv_id AS note_id, conv_id * 100 + turn AS change_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version,
   CASE WHEN turn = 0 THEN 'Note created' WHEN turn % 4 = 2 THEN 'Note archived' WHEN turn % 4 = 3 THEN 'Note restored' ELSE 'Content updated' END AS summary FROM conversations""")
