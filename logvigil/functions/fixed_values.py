@@ -343,3 +343,6 @@ ALERT_LENGTHS = {"rule": 100, "title": 150, "severity": 20, "status": 30, "usern
 USER_LENGTHS = {"username": 50, "email": 255, "full_name": 100}
 ROLE_LENGTHS = {"name": 50}
 MOST_TAGS, LONGEST_TAG = 6, 40
+
+# Spellings of numbers that are not finite, in any case.
+NOT_FINITE = ["nan", "+nan", "-nan", "inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]

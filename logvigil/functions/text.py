@@ -172,15 +172,19 @@ def coerce_cells(cells: Column) -> Column:
     """Typed reading of CSV cells.
 
     ``kind`` is null / int / float / bool / string and ``text`` the canonical spelling of the value.
+    Digits may be grouped by single underscores and an integer may have any length; nan, inf and infinity are floats.
     Each step binds its result to a lambda variable, so a cell is cleaned and matched only once.
     """
+    digits = r"\d+(?:_\d+)*"
+
     def kind(value: Column) -> Column:
         number_like = F.ascii(value) < 58  # digits, signs and the dot sort before letters
         return (
             F.when(value.isNull(), "null")
-            .when(number_like & value.rlike(r"^[+-]?\d{1,38}$"), "int")
-            .when(number_like & value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), "float")
+            .when(number_like & value.rlike(rf"^[+-]?{digits}$"), "int")
+            .when(number_like & value.rlike(rf"^[+-]?({digits}\.?({digits})?|\.{digits})([eE][+-]?{digits})?$"), "float")
             .when((F.length(value) < 6) & F.lower(value).isin("true", "false"), "bool")
+            .when((F.length(value) < 10) & F.lower(value).isin(V.NOT_FINITE), "float")
             .otherwise("string")
         )
 
@@ -188,8 +192,10 @@ def coerce_cells(cells: Column) -> Column:
         value = cell["text"]
         return F.struct(cell["kind"].alias("kind"), (
             F.when(cell["kind"] == "string", value)
-            .when(cell["kind"] == "int", value.try_cast("decimal(38,0)").cast("string"))
-            .when(cell["kind"] == "float", value.try_cast("double").cast("string"))
+            .when((cell["kind"] == "int") & (F.length(value) < 39) & ~value.contains("_"), value.try_cast("decimal(38,0)").cast("string"))
+            .when(cell["kind"] == "int", F.regexp_replace(
+                F.regexp_replace(F.replace(value, F.lit("_")), r"^\+?(-?)0*(?=\d)", "$1"), r"^-0$", "0"))
+            .when(cell["kind"] == "float", F.coalesce(F.replace(value, F.lit("_")).try_cast("double").cast("string"), F.lit("NaN")))  # a signed nan
             .when(cell["kind"] == "bool", F.initcap(value))
         ).alias("text"))
 
@@ -207,9 +213,10 @@ def json_text(c: Column) -> Column:
 
 
 def cell_json(cell: Column) -> Column:
-    """JSON literal of a coerced cell."""
+    """JSON literal of a coerced cell; a number that is not finite, which JSON cannot write, is a string."""
     return (
         F.when(cell["kind"] == "null", "null")
+        .when((cell["kind"] == "float") & cell["text"].isin("NaN", "Infinity", "-Infinity"), json_text(cell["text"]))
         .when(cell["kind"].isin("int", "float"), cell["text"])
         .when(cell["kind"] == "bool", F.lower(cell["text"]))
         .otherwise(json_text(cell["text"]))

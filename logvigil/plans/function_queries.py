@@ -146,6 +146,18 @@ def _(spark, folder):
     return B.table(spark, folder, "events").select("event_id", cell["kind"].alias("kind"), cell["text"].alias("cell"))
 
 
+@query("b10b_number_texts", """
+SELECT event_id, CASE WHEN v IN (0, 1, 2, 7) THEN 'int' WHEN v IN (3, 4, 5) THEN 'float' ELSE 'string' END AS kind,
+  CASE v WHEN 0 THEN repeat('1234567890', 4) || event_id WHEN 1 THEN '-' || repeat('9', 50) || user_id WHEN 2 THEN (1 + event_id) || '000'
+    WHEN 3 THEN '"NaN"' WHEN 4 THEN '"-Infinity"' WHEN 5 THEN '"Infinity"' WHEN 6 THEN '"' || event_id || '__1"' ELSE '0' END AS cell
+FROM (SELECT *, event_id % 8 AS v FROM events)""")
+def _(spark, folder):
+    raw = variant(F.col("event_id"), text("+00", F.repeat(F.lit("1234567890"), 4), F.col("event_id")), text("-", F.repeat(F.lit("9"), 50), F.col("user_id")),
+                  text(1 + F.col("event_id"), "_000"), "NaN", "-infinity", "1e999", text(F.col("event_id"), "__1"), "-0_0")
+    cell = X.coerce_cell(raw)
+    return B.table(spark, folder, "events").select("event_id", cell["kind"].alias("kind"), X.cell_json(cell).alias("cell"))
+
+
 @query("b11_pick", B.with_tables("logs", "SELECT id, coalesce(username, ip_address) AS picked FROM logs"))
 def _(spark, folder):
     rows = B.logs(spark, folder)

@@ -111,3 +111,10 @@ def test_iso_forms_equal_the_standard_library(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "raw string").select("raw", F.unix_micros(T.parse_event_ts(F.col("raw"))).alias("us"))
     wrong = [(r.raw, r.us, standard(r.raw)) for r in frame.collect() if r.us != standard(r.raw)]
     assert not wrong, wrong[:10]
+
+
+def test_number_texts_of_cells(spark):
+    cases = {"-nan": ("float", "NaN"), "1_000.5": ("float", "1000.5"), "1_0e1_0": ("float", "1.0E11"), "_1": ("string", "_1"), "1_": ("string", "1_"),
+             "-000" + "7" * 45: ("int", "-" + "7" * 45), "+" + "0" * 60: ("int", "0"), "-" + "0" * 60: ("int", "0"), "Infinity": ("float", "Infinity"), "info": ("string", "info")}
+    rows = spark.createDataFrame([(c,) for c in cases], "raw string").select("raw", X.coerce_cell(F.col("raw")).alias("cell")).collect()
+    assert {r.raw: (r.cell.kind, r.cell.text) for r in rows} == cases
