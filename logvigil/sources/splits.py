@@ -48,17 +48,34 @@ def _decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
+#: Bytes of a task's splits where the split size is set for a call.
+TASK_BYTES = 32 << 20
+
+
 @contextmanager
-def _split_size(spark: SparkSession, size: int | None):
-    """The reader's split size, for tests and small inputs; None leaves the session's."""
-    name = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(name)
+def _split_size(spark: SparkSession, size: int | None, listed: DataFrame):
+    """The reader's split size, for tests and small inputs; None leaves the session's.
+
+    A split is a place where a file is cut, not a task: small splits of the files ``listed`` are packed into tasks of
+    ``TASK_BYTES``, but into as many as a shuffle has at least. Tasks stream, so none holds its splits.
+    """
+    if size is None:
+        yield
+        return
+    total = listed.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    values = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.maxPartitionNum": tasks}
+    before = {name: spark.conf.get(name, None) for name in values}
     try:
-        if size is not None:
-            spark.conf.set(name, str(size))
+        for name, value in values.items():
+            spark.conf.set(name, str(value))
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def list_files(spark: SparkSession, *paths: str, name: Name = last_element) -> DataFrame:
@@ -556,7 +573,7 @@ def split_records(spark: SparkSession, *paths: str, name: Name = last_element, s
         return found.groupBy("path").agg(
             *(F.max(c).alias(c) for c in ("has_text", "has_null", "is_broken")), F.max("total_lines").alias("total_lines"), F.max(kind).alias("format"))
 
-    with _split_size(spark, split_bytes):
+    with _split_size(spark, split_bytes, listed):
         if there - {"csv", "json", "jsonl"}:
             rows = _held(read("\n", lambda ext: ext.isin(allowed) & ~ext.isin("csv", "json", "jsonl")))
             found = reliable_checkpoint(_line_splits(rows))
@@ -604,7 +621,7 @@ def split_records(spark: SparkSession, *paths: str, name: Name = last_element, s
 def split_lines(spark: SparkSession, *paths: str, name: Name = last_element, split_bytes: int | None = None) -> DataFrame:
     """``path, name, line_number, raw``: the non-blank lines of all files, whatever their format, numbered from one."""
     ship_with_tasks(__name__)
-    with _split_size(spark, split_bytes):
+    with _split_size(spark, split_bytes, list_files(spark, *paths, name=name)):
         rows = _held(_rows(spark, list(paths), "\n", name, lambda ext: F.lit(True), None))
     found = _numbered(rows, _line_splits(rows))
     return found.select("path", name(_decoded(F.col("path"))).alias("name"), "line_number", "raw")

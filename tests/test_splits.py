@@ -67,3 +67,17 @@ def test_size_limit_and_no_files_of_a_kind(spark, tmp_path):
     records, found = splits.split_records(spark, str(tmp_path), max_file_bytes=100)
     assert {(r.name, r.code) for r in found.collect()} == {("big.json", "FILE_TOO_LARGE"), ("small.csv", None)}
     assert [(r.name, r.line_number, r.header, r.record) for r in records.collect()] == [("small.csv", 2, ["a", "b"], "1,2")]
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    """A split is where a file is cut: thousands of them are no thousands of tasks, and the session's settings come back."""
+    for i in range(3):
+        (tmp_path / f"a{i}.log").write_text("".join(f"line {k} of {i}\n" for k in range(500)))
+    limit, names = int(spark.conf.get("spark.sql.shuffle.partitions")), ["spark.sql.files.maxPartitionBytes", "spark.sql.files.maxPartitionNum"]
+    before = [spark.conf.get(n, None) for n in names]
+    with splits._split_size(spark, 20, splits.list_files(spark, str(tmp_path))):
+        rows = splits._held(splits._rows(spark, [str(tmp_path)], "\n", splits.last_element, lambda ext: ext == "log", None))
+    assert rows.select("path", "start").distinct().count() > 1000 and rows.rdd.getNumPartitions() <= 2 * limit + 2
+    assert [spark.conf.get(n, None) for n in names] == before
+    lines = sorted((r.name, r.line_number, r.raw) for r in splits.split_lines(spark, str(tmp_path), split_bytes=20).collect())
+    assert lines == sorted((f"a{i}.log", k + 1, f"line {k} of {i}") for i in range(3) for k in range(500))
