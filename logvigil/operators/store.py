@@ -155,12 +155,14 @@ def get_by_id(table: DataFrame, key: int, column: str = "id") -> DataFrame:
     return table.filter(F.col(column) == key)
 
 
-def log_view(logs: DataFrame, parsed_timestamp: Column | None = None) -> DataFrame:
-    """Dashboard projection of stored logs: no nulls, parsed time before stored time."""
+def log_view(logs: DataFrame, parsed_timestamp: Column | None = None, all_digits: bool = False) -> DataFrame:
+    """Dashboard projection of stored logs: no nulls, parsed time before stored time.
+
+    A stored time has no fraction if it is a whole second, as in the reference, or always six digits with ``all_digits``."""
     parsed = F.get_json_object("parsed_data", "$.timestamp") if parsed_timestamp is None else parsed_timestamp
-    event_time = F.replace(
-        F.date_format("event_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(".000000"), F.lit("")
-    )
+    event_time = F.date_format("event_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    if not all_digits:
+        event_time = F.replace(event_time, F.lit(".000000"), F.lit(""))
     return logs.select(
         "id", "upload_id", "line_number", "source_filename", "source_format",
         F.coalesce(null_if_empty(parsed), F.concat(event_time, F.lit("+00:00")), F.lit("")).alias("timestamp"),

@@ -152,7 +152,7 @@ SELECT id, upload_id, line_number, source_filename, source_format,
   coalesce(severity, 'INFO') AS severity, raw_message FROM logs"""))
 def _(spark, folder):
     parsed = F.when(F.col("id") % 3 == 0, F.date_format("event_timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    return T.log_view(B.logs(spark, folder), parsed)
+    return T.log_view(B.logs(spark, folder), parsed, all_digits=True)
 
 
 # ---- evidence -----------------------------------------------------------------------------

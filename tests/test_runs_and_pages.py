@@ -1,9 +1,13 @@
 """Runs of lines, pages by their last key, and dense numbers on small tables."""
 
 import random
+from datetime import datetime
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
+import oracle
 from logvigil.operators import browse, evidence, pieces
 
 
@@ -46,3 +50,13 @@ def test_dense_numbers_follow_the_order(spark):
     got = sorted((r.k, r.n) for r in pieces.dense_number(frame, ["k"], "n", 5, partitions=6).collect())
     assert got == [(k, k + 5) for k in range(1000)]
     assert pieces.dense_number(frame.limit(0), ["k"], "n").count() == 0
+
+
+def test_log_view_of_whole_seconds_equals_its_sql(spark, tmp_path):
+    """A time without a fraction has six zeros in the SQL; the reference's own form leaves them out."""
+    duckdb.sql("COPY (SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN date_trunc('second', ts) ELSE ts END AS ts) "
+               f"FROM '/root/testdata/sf0.001/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    rows, problem = oracle.compare(spark, con, str(tmp_path), contract.queries()["d15_log_view"], contract.oracle_sql()["d15_log_view"])
+    assert rows > 0 and problem is None
