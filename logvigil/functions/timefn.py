@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from logvigil.functions import fixed_values as V
@@ -30,23 +32,47 @@ def parse_event_ts(c: Column) -> Column:
     return F.coalesce(F.when(text.rlike(ISO_TEXT), common), F.when(text.rlike(ISO_OTHER), _iso_other(text)))
 
 
+_ISO_GROUPS = ",".join(f"${i}" for i in range(1, 14))
+
+
 def _iso_other(text: Column) -> Column:
-    """A time from its parts, null where one is out of its range; fractions are cut to microseconds."""
-    part = lambda i: F.regexp_extract(text, _ISO_PARTS, i)
+    """A time from its parts, null where one is out of its range; fractions are cut to microseconds.
+
+    The text is taken apart by one match, and each part is read once (``_once``), however often it is used.
+    """
+    parts = F.split(F.regexp_replace(text, _ISO_PARTS, _ISO_GROUPS), ",", -1)
+    return _once(parts, lambda p: _once(_iso_numbers(p), _iso_moment))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _iso_numbers(parts: Column) -> Column:
+    part = lambda i: F.get(parts, F.lit(i - 1))
     number = lambda i: F.coalesce(part(i).try_cast("bigint"), F.lit(0).cast("bigint"))
     micros = lambda i: F.substring(F.rpad(part(i), 6, "0"), 1, 6).cast("bigint")
-    year, is_week = part(1), part(2) == "W"
-    plain = F.concat_ws("-", year, part(3), part(4)).try_cast("date")
-    week, fourth = number(3), F.concat(year, F.lit("-01-04")).try_cast("date")
-    weeks = F.weekofyear(F.concat(year, F.lit("-12-28")).try_cast("date"))
-    monday = F.unix_date(F.date_trunc("week", fourth).cast("date"))
-    by_week = F.when(week.between(1, weeks), monday + (week - 1) * 7 + F.greatest(number(4), F.lit(1)) - 1)
-    day = F.when(is_week, by_week).otherwise(F.unix_date(plain))
-    in_range = (number(5) < 24) & (number(6) < 60) & (number(7) < 60) & (number(10) < 24) & (number(11) < 60) & (number(12) < 60)
-    seconds = number(5) * 3600 + number(6) * 60 + number(7)
-    offset = (number(10) * 3600 + number(11) * 60 + number(12)) * 1_000_000 + micros(13)
-    moment = day * 86_400_000_000 + seconds * 1_000_000 + micros(8) - F.when(part(9) == "-", -offset).otherwise(offset)
-    return F.when(in_range & (year != "0000"), F.timestamp_micros(moment))
+    year = part(1)
+    date = lambda rest: F.concat(year, F.lit(rest)).try_cast("date")
+    is_week = part(2) == "W"
+    return F.struct(
+        is_week.alias("is_week"), (year != "0000").alias("has_year"), number(3).alias("week"), number(4).alias("weekday"),
+        F.when(~is_week, F.unix_date(F.concat_ws("-", year, part(3), part(4)).try_cast("date"))).alias("plain"),
+        F.when(is_week, F.weekofyear(date("-12-28"))).alias("weeks"),
+        F.when(is_week, F.unix_date(F.date_trunc("week", date("-01-04")).cast("date"))).alias("monday"),
+        *(number(i).alias(f"n{i}") for i in (5, 6, 7, 10, 11, 12)), micros(8).alias("micros"), (part(9) == "-").alias("behind"), micros(13).alias("offset_micros"))
+
+
+def _iso_moment(n: Column) -> Column:
+    of = lambda i: n[f"n{i}"]
+    by_week = F.when(n["week"].between(1, n["weeks"]), n["monday"] + (n["week"] - 1) * 7 + F.greatest(n["weekday"], F.lit(1)) - 1)
+    day = F.when(n["is_week"], by_week).otherwise(n["plain"])
+    in_range = (of(5) < 24) & (of(6) < 60) & (of(7) < 60) & (of(10) < 24) & (of(11) < 60) & (of(12) < 60)
+    seconds = of(5) * 3600 + of(6) * 60 + of(7)
+    offset = (of(10) * 3600 + of(11) * 60 + of(12)) * 1_000_000 + n["offset_micros"]
+    moment = day * 86_400_000_000 + seconds * 1_000_000 + n["micros"] - F.when(n["behind"], -offset).otherwise(offset)
+    return F.when(in_range & n["has_year"], F.timestamp_micros(moment))
 
 
 def parse_detector_ts(c: Column, year: int) -> Column:

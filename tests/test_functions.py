@@ -118,3 +118,9 @@ def test_number_texts_of_cells(spark):
              "-000" + "7" * 45: ("int", "-" + "7" * 45), "+" + "0" * 60: ("int", "0"), "-" + "0" * 60: ("int", "0"), "Infinity": ("float", "Infinity"), "info": ("string", "info")}
     rows = spark.createDataFrame([(c,) for c in cases], "raw string").select("raw", X.coerce_cell(F.col("raw")).alias("cell")).collect()
     assert {r.raw: (r.cell.kind, r.cell.text) for r in rows} == cases
+
+
+def test_other_iso_forms_are_taken_apart_once(spark):
+    """One match for the parts and one for each form, whatever number of parts there is."""
+    plan = spark.range(1).select(T.parse_event_ts(F.col("id").cast("string")).alias("t"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract(") == 0 and plan.count("regexp_replace(") == 1
