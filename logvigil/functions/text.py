@@ -5,7 +5,7 @@ Every function takes and returns a ``Column``, so Catalyst can fuse them into th
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -18,6 +18,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\n\r\u000b\f"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def null_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

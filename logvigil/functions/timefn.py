@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 from logvigil.functions import fixed_values as V
-from logvigil.functions.text import strip
+from logvigil.functions.text import once, strip
 
 ISO_TEXT = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
@@ -38,15 +36,10 @@ _ISO_GROUPS = ",".join(f"${i}" for i in range(1, 14))
 def _iso_other(text: Column) -> Column:
     """A time from its parts, null where one is out of its range; fractions are cut to microseconds.
 
-    The text is taken apart by one match, and each part is read once (``_once``), however often it is used.
+    The text is taken apart by one match, and each part is read once (``once``), however often it is used.
     """
     parts = F.split(F.regexp_replace(text, _ISO_PARTS, _ISO_GROUPS), ",", -1)
-    return _once(parts, lambda p: _once(_iso_numbers(p), _iso_moment))
-
-
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return once(parts, lambda p: once(_iso_numbers(p), _iso_moment))
 
 
 def _iso_numbers(parts: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logvigil.functions import fixed_values as V
-from logvigil.functions.text import json_items, strip
+from logvigil.functions.text import json_items, once, strip
 
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
 CSV_FIELD = r'(?:"(?:[^"]++|"")*+(?:"|\z)[^,\r\n]*+|[^,\r\n]*+)'
@@ -159,12 +159,10 @@ def _csv_records(text: Column, lines: Column) -> Column:
 
 def json_records(document: Column) -> Column:
     """Records of one JSON document: an array, the array under a container key, or itself."""
-    keys = F.from_json(document, "map<string,string>")
-    inside = F.coalesce(*[
-        F.when(F.try_element_at(keys, F.lit(k)).startswith("["),
-               F.from_json(F.try_element_at(keys, F.lit(k)), "array<string>"))
-        for k in V.JSON_CONTAINER_KEYS
-    ])
+    array = lambda value: F.when(value.startswith("["), F.from_json(value, "array<string>"))
+    inside = once(F.from_json(document, "map<string,string>"), lambda keys: F.coalesce(*[
+        array(F.try_element_at(keys, F.lit(k))) for k in V.JSON_CONTAINER_KEYS
+    ]))
     return (
         F.when(document.startswith("["), F.from_json(document, "array<string>"))
         .when(document.startswith("{"), F.coalesce(inside, F.array(document)))
@@ -174,8 +172,7 @@ def json_records(document: Column) -> Column:
 
 def one_document(text: Column) -> Column:
     """Compact text of the single JSON document in ``text``, null when there is not exactly one."""
-    items = json_items(text)
-    return F.when(F.size(items) == 1, items[0])
+    return once(json_items(text), lambda items: F.when(F.size(items) == 1, items[0]))
 
 
 def _json_text_records(text: Column) -> Column:
@@ -189,23 +186,29 @@ def _json_text_records(text: Column) -> Column:
             line.alias("line"), (i + 1).alias("number"), one_document(line).alias("document"))),
         lambda l: l["line"].rlike(r"\S"),
     )
-    bad = F.transform(
-        F.filter(per_line, lambda l: l["document"].isNull()),
-        lambda l: _record(l["number"], l["line"], F.lit(None).cast("string"),
-                          F.lit("Invalid JSON: not a single well-formed document")),
-    )
-    documents = F.transform(
-        F.filter(per_line, lambda l: l["document"].isNotNull()), lambda l: json_records(l["document"])
-    )
-    whole = one_document(text)
-    good = F.when(whole.isNotNull(), json_records(whole)).otherwise(F.flatten(documents))
-    numbered = F.transform(
-        good,
-        lambda r, i: F.when(r.startswith("{"), _record(i + 1, r, r)).otherwise(
-            _record(i + 1, r, F.lit(None).cast("string"),
-                    F.lit("JSON event must be an object."))),
-    )
-    return F.when(whole.isNotNull(), numbered).otherwise(F.concat(numbered, bad))
+
+    def numbered(good: Column) -> Column:
+        return F.transform(
+            good,
+            lambda r, i: F.when(r.startswith("{"), _record(i + 1, r, r)).otherwise(
+                _record(i + 1, r, F.lit(None).cast("string"),
+                        F.lit("JSON event must be an object."))),
+        )
+
+    def of_lines(lines: Column) -> Column:
+        bad = F.transform(
+            F.filter(lines, lambda l: l["document"].isNull()),
+            lambda l: _record(l["number"], l["line"], F.lit(None).cast("string"),
+                              F.lit("Invalid JSON: not a single well-formed document")),
+        )
+        documents = F.transform(
+            F.filter(lines, lambda l: l["document"].isNotNull()), lambda l: json_records(l["document"])
+        )
+        return F.concat(numbered(F.flatten(documents)), bad)
+
+    # The whole text and each line are parsed once.
+    return once(one_document(text), lambda whole: F.when(whole.isNotNull(), numbered(json_records(whole))).otherwise(
+        once(per_line, of_lines)))
 
 
 def explode_records(files: DataFrame) -> DataFrame:

@@ -197,3 +197,12 @@ def test_stored_ids_connect_ingest_with_the_dashboard(spark, tmp_path, by_split)
     incidents = spark.createDataFrame([], "status string")
     stats = dashboard.dashboard_stats(events, view, incidents).first()
     assert (stats["events_ingested"], stats["active_alerts"], stats["new_alerts"]) == (len(logs), 3, 3)
+
+
+def test_json_lines_are_parsed_a_few_times_each(spark):
+    """The number of parsers in the plan does not grow with the container keys: before, each key had two for each use of a document."""
+    files = spark.createDataFrame([('{"events": [{"a": 1}, 2]}\n{broken\n{"logs": [{"b": 2}], "data": 1}', "json")], "text string, format string")
+    found = S.explode_records(files.withColumn("lines", S.text_lines(F.col("text"))))
+    assert found._jdf.queryExecution().analyzed().toString().count("from_json(") < 20
+    rows = sorted((r.line_number, r.record, r.raw, r.reason is None) for r in found.collect() if r.record)
+    assert rows == [(1, '{"a":1}', '{"a":1}', True), (3, '{"b":2}', '{"b":2}', True)] and found.count() == 4
