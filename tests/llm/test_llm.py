@@ -55,6 +55,15 @@ def test_encoder_equals_library(path, rows):
         assert np.frombuffer(ids, "<u2").tolist() == model.encode(text, add_special_tokens=False).ids, text[:60]
 
 
+def test_new_chunks_are_encoded_in_short_texts():
+    model, mine, rnd, long = Tokenizer.from_file(WORDS), Encoder(WORDS), random.Random(17), []
+    plain, mine._plain = mine._plain, lambda text: long.append(len(text)) or plain(text)
+    for n in (1, 499, 500, 501, 3000):  # texts of 500 chunks, and one more
+        text = " ".join("".join(rnd.choice("abcÉß.,'1") for _ in range(rnd.randrange(3, 12))) for _ in range(n)) + " a\u2020b e\u0301 <|endoftext|>"
+        assert np.frombuffer(mine.encode([text])[0], "<u2").tolist() == model.encode(text, add_special_tokens=False).ids
+    assert max(long) < 200
+
+
 def test_byte_encoder_equals_library(rows):
     model, mine = Tokenizer.from_file(BYTES), encoder_for(BYTES)
     assert isinstance(mine, ByteEncoder) and isinstance(encoder_for(WORDS), Encoder)
