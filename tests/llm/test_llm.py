@@ -461,6 +461,23 @@ def test_passages_do_not_depend_on_partitions(spark):
     assert found[0] == found[1] == found[2] and {r[0] for r in found[0]} == {i for i, _ in docs}
 
 
+def test_copies_and_repeated_words_make_few_rows(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    copy = " ".join(some(80))
+    docs = [(i, copy) for i in range(7, 27)] + [(100 + i, " ".join(some(30 + i) + ["xx", "yy"] * 150 + some(30))) for i in range(12)]
+    docs += [(200, "one two three"), (201, "one two three"), (202, None), (203, "")]  # copies too short for a passage
+    got = substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    copies = [r for r in got if r.doc_id < 100]
+    assert sorted((r.doc_id, r.other_id) for r in copies) == sorted(p for i in range(8, 27) for p in ((7, i), (i, 7)))
+    assert all((r.start, r.n_words, r.other_start, r.n_equal, r.class_id) == (0, 80, 0, 80, 7) and r.n_links == (19 if r.doc_id == 7 else 1) for r in copies)
+    repeated = [r for r in got if r.doc_id >= 100]
+    assert {r.doc_id for r in repeated} == set(range(100, 112)) and {r.class_id for r in repeated} == {100}
+    assert max(collections.Counter((r.doc_id, r.other_id) for r in repeated).values()) <= 6
+    assert len(copies) + len(repeated) == len(got)
+
+
 def test_open_rows_meet_the_nearest_other_document():
     rng = random.Random(14)
     for _ in range(300):
