@@ -478,6 +478,25 @@ def test_copies_and_repeated_words_make_few_rows(spark):
     assert len(copies) + len(repeated) == len(got)
 
 
+def test_edited_passages_meet_whatever_hubs_their_seeds_have(spark):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    docs, pairs = [], []
+    for p in range(12):
+        passage = some(60)
+        for run in range(0, 60, 5):  # every run of equal words has its hub in another document
+            docs.append((len(docs), " ".join(some(90) + passage[run : run + 4] + some(90))))
+        pairs.append((10_000 + 2 * p, 10_001 + 2 * p))
+        for doc in pairs[-1]:
+            docs.append((doc, " ".join(some(80) + [word() if doc % 2 and j % 5 == 4 else w for j, w in enumerate(passage)] + some(70))))
+    got = substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} <= {d for pair in pairs for d in pair}
+    met = [p for p in pairs if {(r.doc_id, r.other_id, r.class_id) for r in got if r.doc_id in p} == {(p[0], p[1], p[0]), (p[1], p[0], p[0])}]
+    assert len(met) >= 11
+    assert all(abs(r.start - 80) <= 3 and r.n_words >= 50 and r.n_equal >= 0.8 * r.n_words for r in got)
+
+
 def test_open_rows_meet_the_nearest_other_document():
     rng = random.Random(14)
     for _ in range(300):
