@@ -1,4 +1,4 @@
-"""Token ids of whole texts from a ``tokenizers`` file: ``ByteEncoder``, or a memo of white-space separated chunks.
+"""Token ids of whole texts from a ``tokenizers`` file: ``ByteEncoder``, ``WordEncoder``, or a memo of white-space separated chunks.
 
 The two byte-pair vocabularies split a text into words before they merge, and no word crosses the
 boundary between a visible character and the white space after it. A text is therefore the
@@ -198,5 +198,64 @@ class ByteEncoder:
         return [row.tobytes() for row in rows]
 
 
+# How the file that ``WordEncoder`` takes normalises and splits a text.
+_LOWERED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_LATIN = "a-zA-ZÀ-ÖØ-öø-ÿ"
+#: Characters for which lower case, NFC and classes are known here and in the library alike; others, and what may be a special token, are left to it.
+_FOREIGN = re.compile(rf"[^\t\n\r\x20-\x7e{_LATIN}‘’“”–—…]|<\|")
+#: The pieces of ``_SPLIT`` that are not letters.
+_MARKS = re.compile(rf"[^{_LATIN}\s](?:(?<=')(?:s|t|re|ve|m|ll|d)|(?<![0-9])[^{_LATIN}\s0-9]*)?")
+
+
+class WordEncoder(Encoder):
+    """``Encoder`` for a byte-level vocabulary of lower-case words with an end-of-word suffix.
+
+    A word is given to ``tiktoken`` with a space behind it, which stands for the suffix: the last byte and the space merge before all
+    else, then the file's merges apply in their order. Texts with other than common Latin characters are encoded as by ``Encoder``.
+    ``fits`` tells whether a file is of this kind.
+    """
+
+    def __init__(self, path: str, keep: int = 600_000):
+        import tiktoken
+
+        super().__init__(path, keep)
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        letters, end, vocab = _byte_letters(), model["end_of_word_suffix"], model["vocab"]
+        made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        tokens = [*(c + end for c, byte in letters.items() if byte != 32), *letters, *made]
+        spelt = lambda t: bytes(letters[c] for c in t.removesuffix(end)) + b" " * t.endswith(end)
+        ranks = {spelt(t): i for i, t in enumerate(tokens)}
+        if len(ranks) != len(tokens):
+            raise ValueError("two merges make the same token")
+        self.ids = np.array([vocab[t] for t in tokens], "<u2")
+        self.words = tiktoken.Encoding("file", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={"\0": len(tokens)}).encode_to_numpy
+
+    @staticmethod
+    def fits(path: str) -> bool:
+        with open(path, encoding="utf-8") as file:
+            content = json.load(file)
+        model = content["model"]
+        simple = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        if model["type"] != "BPE" or not simple or not model.get("end_of_word_suffix") or len(model["vocab"]) > 1 << 16:
+            return False
+        if content.get("normalizer") != _LOWERED or content.get("pre_tokenizer") != _SPLIT or content.get("post_processor"):
+            return False
+        made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        return len(set(made)) == len(made) and all(t in model["vocab"] for t in made)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        foreign = [i for i, text in enumerate(texts) if _FOREIGN.search(text)]
+        known = dict(zip(foreign, super().encode([texts[i] for i in foreign])))
+        return [known[i] if i in known else self._latin(text) for i, text in enumerate(texts)]
+
+    def _latin(self, text: str) -> bytes:
+        spaced = text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ") + " "
+        return self.ids[self.words(_MARKS.sub(r" \g<0> ", spaced))].tobytes()
+
+
 def encoder_for(path: str) -> Encoder | ByteEncoder:
-    return ByteEncoder(path) if ByteEncoder.fits(path) else Encoder(path)
+    return next((kind for kind in (ByteEncoder, WordEncoder) if kind.fits(path)), Encoder)(path)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from logvigil.llm import common, decontaminate, exact_dedup, licences, line_dedup, near_copies, packing, simhash, substring, token_counts, token_files, toxicity
-from logvigil.llm.vocab import ByteEncoder, Encoder, encoder_for
+from logvigil.llm.vocab import ByteEncoder, Encoder, WordEncoder, encoder_for
 
 FOLDER = "/root/testdata/sf0.001"
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -75,6 +75,22 @@ def test_byte_encoder_equals_library(rows):
         assert np.frombuffer(ids, "<u2").tolist() == model.encode(text, add_special_tokens=False).ids, text[:60]
 
 
+def test_word_encoder_equals_library(rows):
+    model, mine, rnd = Tokenizer.from_file(WORDS), encoder_for(WORDS), random.Random(5)
+    assert isinstance(mine, WordEncoder) and not WordEncoder.fits(BYTES)
+    tokens = [t.removesuffix("</w>") for t in model.get_vocab() if t.isascii()]
+    words = [rnd.choice(tokens) + rnd.choice(tokens) * rnd.randrange(2) + rnd.choice(tokens) * rnd.randrange(2) for _ in range(60_000)]
+    marks = [" ", "  ", "\n", "\t", "\r", "a", "B", "Éß", "ÿ", "1", "23", "'s", "'", "'LL", "'ve", "''", "!", ".,", "“", "’s", "—", "_", "<|", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    parts = [*marks, "\u0663", "\u2003", "\xa0", "×", "µ", "ª", "Σ", "İ", "日", "😀", "e\u0301", "\x1c", "\x85", "\x00", "\x7f", "\u00b2"]
+    texts = [t for _, t in rows] + tokens + [" ".join(words[i : i + 20]) for i in range(0, len(words), 20)]
+    texts += ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 12))) for some in (marks[:-3], parts) for _ in range(10_000)]
+    for text, ids in zip(texts, mine.encode(texts)):
+        assert np.frombuffer(ids, "<u2").tolist() == model.encode(text, add_special_tokens=False).ids, text[:60]
+    fresh = encoder_for(WORDS)
+    fresh.encode(["It's plain prose, É and ñ; 12 (of it)."])
+    assert not fresh.memo  # no look-up of chunks
+
+
 def test_packing_keeps_neighbours_together(spark):
     """The best BM25 neighbour of a document in the whole corpus: how often is it in the same one of many shards?"""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
