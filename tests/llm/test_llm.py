@@ -513,6 +513,22 @@ def test_edited_passages_meet_whatever_hubs_their_seeds_have(spark):
     assert all(abs(r.start - 80) <= 3 and r.n_words >= 50 and r.n_equal >= 0.8 * r.n_words for r in got)
 
 
+def test_pairs_with_a_short_line_only_are_not_made():
+    rng = random.Random(18)
+    some = lambda n: rng.sample(range(1 << 16), n)
+    line, rows = some(30), []
+    for i in range(3000):  # one line of 30 words, or a run of one word, and nothing else in common
+        rows.append(some(60) + (line if i % 2 else [7] * 30) + some(60))
+    passages = [some(64) for _ in range(20)]
+    for p in passages:  # and pairs that share 64 words, one of six replaced
+        rows += [some(40) + p + some(40), some(50) + [rng.randrange(1 << 16) if j % 6 == 5 else w for j, w in enumerate(p)] + some(40)]
+    around = [np.array(r, np.uint16).tobytes() for r in rows]
+    key, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    found = {(int(a), int(b)) for one, two in substring.alike(key, root, around, 3, 50, 0.8) for a, b in zip(one, two)}
+    assert found == {(3000 + 2 * i, 3001 + 2 * i) for i in range(20)}
+    assert not list(substring.alike(key, root * 0, around, 3, 50, 0.8)) and not list(substring.alike(root, root, around, 3, 50, 0.8))
+
+
 def test_open_rows_meet_the_nearest_other_document():
     rng = random.Random(14)
     for _ in range(300):
