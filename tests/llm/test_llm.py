@@ -529,6 +529,33 @@ def test_pairs_with_a_short_line_only_are_not_made():
     assert not list(substring.alike(key, root * 0, around, 3, 50, 0.8)) and not list(substring.alike(root, root, around, 3, 50, 0.8))
 
 
+def test_others_of_equal_brute_force():
+    rng = np.random.default_rng(19)
+    for many in (2, 5, 300):  # up to more roots of a seed than there are bits
+        seed, root = np.sort(rng.integers(-4, 4, 600)), rng.integers(0, many, 600) * 7919
+        bit = {int(r): 1 << (int(r) * 0x9E3779B97F4A7C15 % 2**64 >> 58) for r in root}
+        want = [0] * len(seed)
+        for i in range(len(seed)):
+            for r in {int(r) for s, r in zip(seed, root) if s == seed[i] and r != root[i]}:
+                want[i] |= bit[r]
+        assert [int(x) % 2**64 for x in substring.others_of(seed, root)] == want
+
+
+def test_seeds_met_in_different_classes_make_no_pairs(spark):
+    rng = random.Random(20)
+    # Each of 60 documents shares 40 seeds with one document each, as by chance; ten pairs of documents share four more, 20 words apart.
+    points = [(d, 5 * j, 1000 + 40 * d + j, 0) for d in range(60) for j in range(40)]
+    points += [(1000 + 40 * d + j, 3, 1000 + 40 * d + j, 0) for d in range(60) for j in range(40)]
+    points += [(2 * p + side, 1000 + 20 * j + side, 5000 + p, j) for p in range(10) for j in range(4) for side in range(2)]
+    rng.shuffle(points)
+    table = spark.createDataFrame([(*row, 3, True) for row in points], "doc_id long, pos long, hub_id long, hub_pos long, n long, dense boolean")
+    classes = spark.createDataFrame([(1, 0), (0, 0)], "node long, root long")  # the first pair is one class already
+    made = substring.two_seeds(substring.contested(table, classes), 13, 73, 48).cache()
+    kept = substring.in_several(made).collect()
+    assert {r.doc_id for r in kept} == set(range(2, 20)) and len(kept) == 18 * 6
+    assert made.count() < 1000  # all pairs of contested seeds: 60 x 446
+
+
 def test_open_rows_meet_the_nearest_other_document():
     rng = random.Random(14)
     for _ in range(300):
